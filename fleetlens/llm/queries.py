@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm.audio import features
 from fleetlens.llm.common import documents
 from fleetlens.llm.mixing import pareto_mix
+from fleetlens.llm.packing import pack
+from fleetlens.llm.pii import find_pii
 from fleetlens.llm.quality import judged, learn_rules
+from fleetlens.llm.secrets import find_secrets
 from fleetlens.llm.sharding import shard_by_bytes
 
 
+def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(documents(spark, sf_dir).select("doc_id", "text"), keep=())
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir).select("doc_id", "text")).selectExpr("doc_id", "start", "cast(length AS long) AS length", "ids_crc32", "doc_tokens", "sequence_id", "cast(offset AS long) AS offset")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     rules = learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,7 +47,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio": op1_audio,
+    "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
+    "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
 }
