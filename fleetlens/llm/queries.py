@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.llm.audio import features
 from fleetlens.llm.common import documents
 from fleetlens.llm.mixing import pareto_mix
+from fleetlens.llm.neardup import near_duplicates
 from fleetlens.llm.packing import pack
 from fleetlens.llm.pii import find_pii
 from fleetlens.llm.quality import judged, learn_rules
@@ -28,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir).select("doc_id", "text")).selectExpr("doc_id", "start", "cast(length AS long) AS length", "ids_crc32", "doc_tokens", "sequence_id", "cast(offset AS long) AS offset")
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio": op1_audio,
     "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
