@@ -15,6 +15,7 @@ from fleetlens.llm.pii import find_pii
 from fleetlens.llm.quality import judged, learn_rules
 from fleetlens.llm.secrets import find_secrets
 from fleetlens.llm.sharding import shard_by_bytes
+from fleetlens.llm.substrings import remove_repeats
 
 
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio": op1_audio,
     "op2_pii": op2_pii,
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     if len(_POWERS["up"]) < n:
         size = max(n, 1 << 14)
@@ -46,7 +46,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + _STEP * (ends - starts).astype(np.uint64))
