@@ -2,9 +2,63 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlens.llm.common import SPACE_CHARS, documents, stored
+from fleetlens.llm.lines import dedup_lines
+from fleetlens.llm.mixing import pareto_mix
+from fleetlens.llm.neardup import keep_one
+from fleetlens.llm.packing import pack
+from fleetlens.llm.quality import judged, learn_rules
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """df's rows with the columns of documents; n_chars follows the text."""
+    return df.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor a learned rule rejects."""
+    rules = learn_rules(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged(docs, rules).filter("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier; those that lost all their words go."""
+    out = dedup_lines(docs)
+    blank = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE_CHARS)) == ""
+    return _documents(out.filter(~(blank & (F.col("n_exact") + F.col("n_near") > 0))))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least doc_id, of each group of near-duplicates."""
+    return keep_one(docs).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    copies = pareto_mix(docs.select("doc_id", "text", "source")).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of 2048."""
+    return pack(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mix", mix), ("packing", packing)]
+
+#: Learned rules, uniform numbers by hash and tokenization are not SQL: see tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fleetlens.llm import oracles
 from fleetlens.llm.audio import features
 from fleetlens.llm.common import documents
+from fleetlens.llm.lines import dedup_lines
 from fleetlens.llm.mixing import pareto_mix
 from fleetlens.llm.neardup import near_duplicates
 from fleetlens.llm.packing import pack
@@ -30,6 +33,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -60,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio": op1_audio,
     "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
@@ -67,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": oracles.LINES}
