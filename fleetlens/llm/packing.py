@@ -29,31 +29,66 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Split at ASCII white space alone: the tokenizer keeps some characters that str.split() takes for white space.
+#: The tokenizer keeps four characters that str.split() takes for white space; texts with one are split by pattern.
+_ODD = re.compile(r"[\x1c-\x1f]")
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class _Words(dict):
-    """Token ids (little-endian 32-bit) of each run without white space; the tokenizer never joins across white space."""
+# Marks that the tokenizer always parts from letters before them.
+_MARKS = ".,;:!?|#$%&*"
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
-        from tokenizers import Tokenizer
 
-        self.most, self.tokenizer = most, Tokenizer.from_file(path)
+class _Words(dict):
+    """Token ids (little-endian 32-bit) of each run without white space; the tokenizer never joins across white space.
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    New runs are learned together, marks at their ends apart from their letters: one call for a batch of texts.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __init__(self, path: str, most: int = 500_000) -> None:
+        from tokenizers import Tokenizer
 
-    def ids(self, text: str) -> bytes:
-        return b"".join([self[w] for w in _RUN.findall(text)])
+        self.most, self.tokenizer = most, Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def split(run: str) -> tuple[str, str]:
+        letters = run.rstrip(_MARKS)
+        low = letters.lower()
+        if not low.isalpha() or len(low) != len(letters) or "\u03a3" in letters:  # Python lowers a last sigma by its place
+            return run, ""
+        return low, run[len(letters) :]
+
+    def encode(self, texts: list[str]) -> None:
+        """Learns parts: they are encoded as one text and told apart by where their tokens begin."""
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        at = np.searchsorted(starts, [a for a, _ in got.offsets], "right") - 1
+        ids, ends = np.array(got.ids, "<u4"), np.searchsorted(at, np.arange(len(texts) + 1))
+        data = ids.tobytes()
+        self.parts |= {t: data[4 * ends[k] : 4 * ends[k + 1]] for k, t in enumerate(texts)}
+
+    def learn(self, runs: set[str]) -> None:
+        new = runs.difference(self)
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = runs
+        if len(self.parts) > 2 * self.most:
+            self.parts.clear()
+        halves = {r: self.split(r) for r in new}
+        missing = sorted({p for h in halves.values() for p in h if p}.difference(self.parts))
+        for k in range(0, len(missing), 4000):
+            self.encode(missing[k : k + 4000])
+        get = self.parts.__getitem__
+        self.update({r: get(a) + get(b) if b else get(a) for r, (a, b) in halves.items()})
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(texts), 1000):
+            runs = [_RUN.findall(t) if _ODD.search(t) else t.split() for t in texts[k : k + 1000]]
+            self.learn(set().union(*runs))
+            get = self.__getitem__
+            out += [b"".join(map(get, r)) for r in runs]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -61,8 +96,8 @@ def _words_of(path: str) -> _Words:
     return _Words(path)
 
 
-def token_ids(text: str | None, path: str, end_id: int = 1) -> bytes:
-    return _words_of(path).ids(text or "") + end_id.to_bytes(4, "little")
+def token_ids(texts: list[str | None], path: str, end_id: int = 1) -> list[bytes]:
+    return [x + end_id.to_bytes(4, "little") for x in _words_of(path).ids([t or "" for t in texts])]
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
@@ -73,8 +108,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, keep_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-                ids = token_ids(text, path, end_id)
+            for i, ids in zip(pdf["doc_id"].astype("Int64"), token_ids(list(pdf["text"]), path, end_id), strict=True):
                 n = len(ids) // 4
                 for a in range(0, n, size):
                     part = ids[4 * a : 4 * (a + size)]
