@@ -76,4 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": oracles.LINES}
+ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": oracles.SHARDS,
+    "op4_line_dedup": oracles.LINES,
+    "op5_near_duplicates": oracles.NEAR,
+    "op10_suffix_dedup": oracles.REPEATS,
+}
