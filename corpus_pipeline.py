@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import SPACE_CHARS, documents, stored
 from fleetlens.llm.lines import dedup_lines
-from fleetlens.llm.mixing import pareto_mix
+from fleetlens.llm.mixing import take
 from fleetlens.llm.neardup import keep_one
 from fleetlens.llm.packing import pack
 from fleetlens.llm.quality import judged, learn_rules
@@ -40,9 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    copies = pareto_mix(docs.select("doc_id", "text", "source")).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return take(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

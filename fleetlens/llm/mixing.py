@@ -42,13 +42,22 @@ def water_level(items: DataFrame, by: list[str], weight: str, cap: str, total: C
     return tried.withColumn("level", F.coalesce(level, F.lit(float("inf")))).drop("_ratio", "_full", "_open", "_try")
 
 
+def take(docs: DataFrame, **how) -> DataFrame:
+    """docs' rows as often as pareto_mix takes them; columns unchanged. Repeated rows are taken as often as all of them."""
+    key = lambda d: F.coalesce(d.cast("long"), F.lit(MIN_LONG)).alias("_id")
+    copies = pareto_mix(docs.select("doc_id", "text", "source"), **how).groupBy(key(F.col("doc_id")), F.col("mark").alias("_mark")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    once = docs.select("*", key(F.col("doc_id")), F.xxhash64("text").alias("_mark")).dropDuplicates(["_id", "_mark"])
+    return once.join(copies, ["_id", "_mark"]).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 9, classes: int = 32) -> DataFrame:
     """Decides for each row of docs (doc_id, text, source) how many copies the mix takes.
 
     Sources in code-point order, null last, weigh `weights` in turn and share all words; no source's target exceeds
     cap times its words. Expected copies rise mildly with length (weight 0.5 to 1.5 in `classes` steps: fragments are
     less worth repeating) and are scaled so that they meet the source's target; never over cap.
-    Returns doc_id, source, size (words), source_size, target, copies, taken (copies * size); one row per input row.
+    Returns doc_id, source, size (words), source_size, target, copies, taken (copies * size) and mark (a hash of the
+    text); one row per input row.
     Null text has size 0; documents without words are never taken; repeated rows are separate documents with ties
     broken by size; an empty table gives no rows; other columns are ignored.
     """
@@ -105,4 +114,5 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
         F.col("target").cast("double").alias("target"),
         copies.cast("int").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
+        F.col("_t").alias("mark"),
     )

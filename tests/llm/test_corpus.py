@@ -447,6 +447,10 @@ def test_mix(spark, docs, empty):
     assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
     out = mixing.pareto_mix(docs).collect()
     assert len(out) == docs.count() and mixing.pareto_mix(empty).count() == 0
+    times = Counter()
+    for r in out:
+        times[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in mixing.take(docs).collect()) == +times and mixing.take(docs).columns == docs.columns
 
 
 # 10 repeated passages
