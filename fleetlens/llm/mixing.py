@@ -3,7 +3,8 @@
 Targets fill up by weight until each source is at its target or at its cap (water filling). Inside a source every
 document has an expected number of copies; its whole part is allocated as certain copies, and the fraction is the
 inclusion probability p of one more. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a uniform number fixed by
-the document, and the lowest ranks are taken until the source's remaining words are used up.
+the document, and the lowest ranks are taken until the source's remaining words are used up; of the rest, the one
+document that comes nearest to the words still missing is taken too.
 
 No source is ever sorted or gathered whole: ranks are binned, bins are summed with map-side combine, and only the one
 bin of each source in which the cut falls is ordered.
@@ -102,11 +103,16 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     # Whole bins below the cut are taken; with no cut (all ranked words fit) every ranked document is.
     edge = dealt.filter("_bin = _cut")
     upto = Window.partitionBy("_s").orderBy("_q", F.col("size").desc(), F.coalesce("doc_id", F.lit(MIN_LONG)), "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mid = F.col("_before") + F.sum("size").over(upto) - F.col("size") / 2.0
-    edge = edge.withColumn("_more", (mid <= F.col("_rest")).cast("int"))
+    edge = edge.withColumn("_more", (F.col("_before") + F.sum("size").over(upto) <= F.col("_rest")).cast("int"))
     rest = dealt.filter("_bin IS NULL OR _cut IS NULL OR _bin <> _cut").withColumn("_more", F.coalesce((F.col("_bin").isNotNull() & (F.col("_rest") > 0) & (F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut")))).cast("int"), F.lit(0)))
+    whole = stored(rest.unionByName(edge), "mix-ranked")
+    # what the last document would overshoot is filled by the one document left over that comes nearest to it
+    gaps = whole.filter("_cut IS NOT NULL").groupBy("_s").agg((F.first("_rest") - F.sum(F.when(F.col("_bin").isNotNull(), F.col("_more") * F.col("size")).otherwise(0))).alias("_gap"))
+    miss = F.abs(F.col("size") - F.col("_gap"))
+    last = whole.filter("_bin IS NOT NULL AND _more = 0 AND size > 0").join(hint(gaps), "_s").filter(miss < F.col("_gap")).groupBy("_s").agg(F.min(F.struct(miss.alias("miss"), "_q", F.coalesce("doc_id", F.lit(MIN_LONG)).alias("id"), "_tie")).alias("_l")).select("_s", F.col("_l._tie").alias("_last"))
+    whole = whole.join(hint(last), "_s", "left").withColumn("_more", F.when(F.col("_tie").eqNullSafe(F.col("_last")), F.lit(1)).otherwise(F.col("_more")))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce("_sure", F.lit(0)) + F.col("_more"))
-    return rest.unionByName(edge).select(
+    return whole.select(
         "doc_id",
         "source",
         "size",
