@@ -123,10 +123,9 @@ def metrics_period(spark, d):
     return sel.metrics_period(view(spark, d, "fx_metrics"), NOW, "2d")
 
 
-@query(duck("fx_processes") + " SELECT * FROM fx_processes WHERE timestamp = (SELECT max(timestamp) FROM fx_processes) AND (contains(name, 'process-1') OR contains(cmdline, 'flag=3'))")
+@query(duck("fx_processes") + " SELECT * FROM fx_processes WHERE timestamp = (SELECT max(timestamp) FROM fx_processes) AND (contains(name, 'flag=3') OR contains(cmdline, 'flag=3'))")
 def processes_filter(spark, d):
-    now = sel.latest_snapshot(view(spark, d, "fx_processes"))
-    return sel.name_contains(now, "process-1").union(sel.name_contains(now.filter(~F.col("name").contains("process-1") & ~F.col("cmdline").contains("process-1")), "flag=3"))
+    return sel.name_contains(sel.latest_snapshot(view(spark, d, "fx_processes")), "flag=3")
 
 
 def _sorted(order: tuple, k: int = 1000):
