@@ -141,7 +141,7 @@ def from_wav(media: bytes) -> bytes:
 
 def padded(data: bytes, to: int = 64) -> bytes:
     """data with zero bytes up to a positive multiple of `to`."""
-    return data + bytes(max(to, -len(data) % to + len(data)) - len(data))
+    return data + bytes(max(to, -(-len(data) // to) * to) - len(data))
 
 
 def features(docs: DataFrame, spec: AudioSpec = AudioSpec(), keep: tuple[str, ...] = ("media", "tensors", "spans")) -> DataFrame:

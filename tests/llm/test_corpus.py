@@ -78,9 +78,9 @@ def test_audio_round_trip(docs, empty):
         t = audio.read_tensors(bytes(r["tensors"]))
         assert isinstance(t.schema.field("logmel").type, pa.FixedShapeTensorType) and list(t.schema.field("logmel").type.shape) == [32, 32]
         assert all(0 <= s["start_s"] < s["end_s"] for s in r["spans"])
-    same = {r["text_"]: set() for r in []}
+    same = defaultdict(set)
     for r in got:
-        same.setdefault(text[r["doc_id"]], set()).add((r["feature"], r["media_sha256"]))
+        same[text[r["doc_id"]]].add((r["feature"], r["media_sha256"]))
     assert all(len(v) == 1 for v in same.values())
 
 
@@ -129,7 +129,8 @@ def test_pii_rows(spark, docs, empty):
     text = "é mail me: joe.x@mail.example.com or +1 (389) 555-5010, card 4539 1488 0343 6467, host 10.0.0.255, iban DE89 3704 0044 0532 0130 00 account; my social security number 219-09-9999, ref 219-09-9998, DE89 3704 0044 0532 0130 01"
     r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     kinds = [s.split(":")[0] for s in r["spans"].split(",")]
-    assert Counter(kinds) == {"email": 1, "phone": 1, "card": 1, "ip": 1, "iban": 1, "ssn": 1} or Counter(kinds)["ssn"] == 2
+    # the second social security number has the context word near it too; the second account number fails mod 97
+    assert Counter(kinds) == {"email": 1, "phone": 1, "card": 1, "ip": 1, "iban": 1, "ssn": 2}
     base = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(plain_pii(text), key=lambda s: (s[0], pii.KINDS.index(s[2]))))
     assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(empty).count() == 0
