@@ -51,8 +51,11 @@ def append(rows: DataFrame, store: Store, table: str, checkpoint: str, every: st
 class ContainerRates(StatefulProcessor):
     """cpu_pct of a container's usage counter against its last sample, which is the state; null for the first one."""
 
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long, usage long", ttlDurationMs=STATE_TTL_MS)
+        self.last = handle.getValueState("last", "micros long, usage long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # one key's rows of one batch, which a trigger's file limit bounds
@@ -74,10 +77,13 @@ class ContainerRates(StatefulProcessor):
         pass
 
 
-def container_rates(counters: DataFrame) -> DataFrame:
-    """Streaming form of operators.derive.container_rates; needs the RocksDB state store."""
+def container_rates(counters: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
+    """Streaming form of operators.derive.container_rates; needs the RocksDB state store.
+
+    With a time to live Spark goes on running empty batches, so a run that shall end by itself takes None.
+    """
     rows = counters.select("host", "vmid", F.col("timestamp").cast("timestamp").alias("timestamp"), "seq", "usage_usec", "mem_current", "mem_max")
-    return rows.groupBy("host", "vmid").transformWithStateInPandas(statefulProcessor=ContainerRates(), outputStructType=RATES, outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("host", "vmid").transformWithStateInPandas(statefulProcessor=ContainerRates(ttl_ms), outputStructType=RATES, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -35,12 +35,15 @@ def test_keyed_state_equals_lag(spark, tmp_path):
     schema = "host string, vmid int, timestamp timestamp_ntz, seq long, usage_usec long, mem_current long, mem_max long"
     rows = [("h", v, datetime(2024, 1, 1) + timedelta(seconds=10 * i), i * 10 + v, (i * 700_000 * v) % 3_000_000, i, None if v % 2 else 9) for i in range(12) for v in range(4)]
     df = spark.createDataFrame(rows, schema)
-    for part in range(3):  # three files in order of time, so that state has to carry over batches
-        df.filter(f"seq >= {part * 40} and seq < {part * 40 + 40}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in range(2):  # two files in order of time, so that state has to carry over batches
+        df.filter(f"seq >= {part * 60} and seq < {part * 60 + 60}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = jobs.container_rates(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = jobs.container_rates(stream, ttl_ms=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert q.awaitTermination(300)
     got = {(r["vmid"], r["seq"]): r["cpu_pct"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r["vmid"], r["seq"]): r["cpu_pct"] for r in derive.container_rates(df).collect()}
     assert got == pytest.approx(want)
