@@ -5,8 +5,10 @@
    leader, the member whose other buckets are largest (the middle of a group of copies).
 3. A pair's signatures are compared in batches; a pair goes as soon as the posterior probability that its similarity
    reaches the threshold falls under the chosen miss probability. Survivors are verified on full shingle sets.
-4. Components of the verified links. Buckets that still hold more than one component are then compared in full, in
-   blocks that are dealt out over tasks, so that a link between two members that are both unlike the leader is found.
+4. Components of the verified links. Buckets that still hold more than one component are compared in blocks that are
+   dealt out over tasks: first only the likeliest pairs that would join components (a spanning forest of each block)
+   are verified, and components are built again; at the end every pair left between components is, so that a link
+   between two members that are both unlike the leader is found. The forests are linear in a bucket's members.
 """
 
 from __future__ import annotations
@@ -132,37 +134,71 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: fl
         sided = lambda x: full.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
         return stored(candidates.join(sided("b"), "b").join(sided("a"), "a").select("a", "b", "h_a", "h_b").mapInPandas(similar, "a long, b long"), "verified-pairs")
 
-    links = verified(first)
-    stars = components(links)
-    # buckets in which more than one component is left, and more pairs than the leader's
-    placed = members.filter("n > 2").join(stars.withColumnRenamed("v", "node"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y").select("key", "m")
-    rest = placed.join(mixed_keys, "key").join(sides, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member meets every block, its own as well: rows of (key, lower block, higher block)
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles", "signature")
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        s, node, root, size, own = _signatures(pdf["signature"]), pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["own"].to_numpy()
-        left, right, out = np.flatnonzero(own == i), np.flatnonzero(own == j), []
-        for x in left:
-            y = right[(root[right] != root[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
-            if i == j:
-                y = y[y > x]
-            if len(y):
-                y = y[surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y], needed)]
-                out += [(min(node[x], node[k]), max(node[x], node[k])) for k in y]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    more = stored(dealt.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "more-pairs")
-    every = links if more.isEmpty() else links.union(verified(more))
-    name = nodes.select("node", "label")
-    labelled = every.join(name.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(name.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    roots = classes.join(components(labelled).withColumnRenamed("v", "label"), "label", "left").select("digest", F.nullif(F.coalesce("root", "label"), F.lit(_TOP)).alias("component"))
-    found = sketch.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    def left_over(roots: DataFrame, forest: int) -> DataFrame:
+        """Pairs of different components in a bucket that the signatures let through.
+
+        With forest (a number that deals the blocks anew) only pairs inside blocks, and only the likeliest that join.
+        """
+        placed = members.filter("n > 2").join(roots.withColumnRenamed("v", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y").select("key", "m")
+        rest = placed.join(open_keys, "key").join(sides, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(forest)), F.col("blocks")).cast("int"))
+        # a member meets every block, its own as well: rows of (key, lower block, higher block)
+        met = rest.withColumn("other", F.col("own")) if forest else rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles", "signature")
+
+        def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+            key, i, j = pdf["key"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
+            pdf = pdf.sort_values("node")
+            s, node, root, size, own = _signatures(pdf["signature"]), pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["own"].to_numpy()
+            left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+            for x in left:
+                y = right[(root[right] != root[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
+                if i == j:
+                    y = y[y > x]
+                if len(y):
+                    y = y[surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y], needed)]
+                    if not forest:  # a pair is given by the first of the buckets that it shares
+                        first_band = (s[y] == s[x]).reshape(len(y), HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
+                        y = y[band_keys(s[x], ROWS)[first_band] == key]
+                    found += [(int((s[x] == s[k]).sum()), x, k) for k in y]
+            if forest:
+                found = _forest(found, root)
+            return pd.DataFrame([(min(node[x], node[k]), max(node[x], node[k])) for _, x, k in found], columns=["a", "b"]).astype("int64")
+
+        return dealt.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+
+    links, tested = verified(first), first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = components(links)
+    for forest in (1, 2, 0):
+        more = stored(left_over(roots, forest).join(tested, ["a", "b"], "left_anti"), "more-pairs")
+        if not more.isEmpty():
+            links, tested = links.union(verified(more)), tested.union(more)
+            roots = components(links)
+    # a component's least doc_id
+    placed = classes.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = placed.join(placed.groupBy("root").agg(F.min("label").alias("least")), "root").select("digest", F.nullif("least", F.lit(_TOP)).alias("component"))
+    found = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _forest(found: list[tuple[int, int, int]], root: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of the pairs (agreements, x, y), most agreements first, those that join components not joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while parent.setdefault(r, r) != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out = []
+    for n, x, y in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+        a, b = top(root[x]), top(root[y])
+        if a != b:
+            parent[a] = b
+            out.append((n, x, y))
+    return out
+
+
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
     """docs without the rows that near_duplicates does not keep; columns unchanged. Repeated rows of a kept id stay once."""
     ids = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
