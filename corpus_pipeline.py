@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; those that lost all their words go."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, min_exact=1)
     blank = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE_CHARS)) == ""
     return _documents(out.filter(~(blank & (F.col("n_exact") + F.col("n_near") > 0))))
 

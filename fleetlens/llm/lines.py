@@ -2,6 +2,7 @@
 
 A line is the sequence of its words, and two lines are alike if at most one word is inserted, deleted or replaced.
 1. Equal lines collapse to a class with its earliest place (map-side combined, so a frequent line is one row).
+   The next steps take the classes of at least min_words words; shorter lines go only if equal.
 2. Two alike lines agree in their first or their second half. Only classes that share a half with another one go on;
    this loses no alike pair and spares most lines the next step.
 3. Those emit every variant with one word deleted, as a hashed key with the place of the deletion. Lines with equal
@@ -29,17 +30,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 6) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 6, min_exact: int | None = None) -> DataFrame:
     """doc_id, mark (hash of the text), exact and near: sorted numbers (from 0) of the lines that have an earlier equal or alike line.
 
-    Only documents that have such lines are in the result. Lines of fewer than min_words words are left alone.
+    Only documents that have such lines are in the result. Lines of fewer than min_words words are never compared as
+    alike; equal ones are found from min_exact words (min_words if not given), and lines without words are left alone.
     """
     n = F.size("words")
-    line = lambda d, *more: d.select("doc_id", "mark", *more, F.posexplode(F.split("text", "\n")).alias("line", "body")).withColumn("words", words(F.col("body"))).filter(n >= min_words)
+    least = max(1, min_words if min_exact is None else min(min_exact, min_words))
+    line = lambda d, *more: d.select("doc_id", "mark", *more, F.posexplode(F.split("text", "\n")).alias("line", "body")).withColumn("words", words(F.col("body"))).filter(n >= least)
     half = lambda m, first: F.xxhash64(F.lit(first), m, F.slice("words", F.lit(1), F.floor(m / 2).cast("int")) if first else F.slice("words", n - (m - F.floor(m / 2)).cast("int") + 1, (m - F.floor(m / 2)).cast("int")))
     # lines as narrow rows: two independent hashes stand for the words
     lines = stored(
-        line(_keyed(docs)).select("doc_id", "mark", "line", F.xxhash64("words").alias("h"), F.hash("words").alias("h2"), F.array(half(n, True), half(n, False), half(n - 1, True), half(n - 1, False)).alias("halves")),
+        line(_keyed(docs)).select("doc_id", "mark", "line", F.xxhash64("words").alias("h"), F.hash("words").alias("h2"), F.when(n >= min_words, F.array(half(n, True), half(n, False), half(n - 1, True), half(n - 1, False))).alias("halves")),
         "lines",
     )
     classes = stored(lines.groupBy("h", "h2").agg(F.min(_order(F.col("doc_id"), F.col("line"))).alias("ord"), F.first("halves").alias("halves")), "line-classes")
@@ -65,10 +68,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 6) -> DataFrame:
     gap = lambda i: F.struct(F.xxhash64(F.concat(F.slice("codes", F.lit(1), i), F.slice("codes", i + 2, F.greatest(m - i - 1, F.lit(0))))).alias("v"), i.alias("gap"))
     cuts = stored(coded.select("h", "h2", "ord", F.explode(F.transform(F.sequence(F.lit(0), m - 1), gap)).alias("x")).select("h", "h2", "ord", "x.v", "x.gap"), "line-variants")
     whole = coded.select("h", "h2", "ord", F.xxhash64("codes").alias("v"))
-    least = cuts.groupBy("v", "gap").agg(F.min("ord").alias("to"), F.count("*").alias("n"))
-    replaced = cuts.join(least.filter("n > 1").drop("n"), ["v", "gap"]).filter("to < ord").select("h", "h2", "ord", "to")
+    lowest = cuts.groupBy("v", "gap").agg(F.min("ord").alias("to"), F.count("*").alias("n"))
+    replaced = cuts.join(lowest.filter("n > 1").drop("n"), ["v", "gap"]).filter("to < ord").select("h", "h2", "ord", "to")
     longer = cuts.join(whole.select("v", F.col("ord").alias("to")), "v").filter("to < ord").select("h", "h2", "ord", "to")
-    shorter = whole.join(least.groupBy("v").agg(F.min("to").alias("to")), "v").filter("to < ord").select("h", "h2", "ord", "to")
+    shorter = whole.join(lowest.groupBy("v").agg(F.min("to").alias("to")), "v").filter("to < ord").select("h", "h2", "ord", "to")
     nearest = replaced.union(longer).union(shorter).groupBy("h", "h2").agg(F.min("to").alias("to"))
     # verify: at most one word inserted, deleted or replaced
     a, b = F.col("words"), F.col("other")
@@ -88,16 +91,17 @@ def repeated_lines(docs: DataFrame, min_words: int = 6) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 6) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 6, min_exact: int | None = None) -> DataFrame:
     """docs (doc_id, text and any others) with repeated lines taken out of text, plus n_lines, n_exact, n_near.
 
     Every row stays, in any order; earliest is by doc_id, then line. Null text stays null with 0 lines; empty text has
     one line, which is kept; a null doc_id comes last; rows that are equal in doc_id and text count as one document and
     lose the same lines; a line may repeat inside its document. Columns of docs named like those added are replaced.
-    A line goes if an earlier one is equal or alike in the input, whether that one stays or not.
+    A line goes if an earlier one is equal or alike in the input, whether that one stays or not. min_words and
+    min_exact as in repeated_lines: with min_exact 1 every line that has a word goes if an earlier one is equal.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
+    gone = repeated_lines(docs, min_words, min_exact).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
     keyed = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_m", F.xxhash64("text"))
     both = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
     all_gone = F.array_union("_exact", "_near")
