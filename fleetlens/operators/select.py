@@ -65,9 +65,14 @@ def name_contains(df: DataFrame, text: str) -> DataFrame:
     return df.filter(F.col("name").contains(text) | F.col("cmdline").contains(text))
 
 
+def ranked_per_host(df: DataFrame, *order: Column, keys: tuple[str, ...] = ("host",)) -> DataFrame:
+    """All rows of each host with their rank from 1."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or ordering(BY_CPU)))))
+
+
 def top_per_host(df: DataFrame, k: int, *order: Column, keys: tuple[str, ...] = ("host",)) -> DataFrame:
     """The first k rows of each host with their rank from 1; Spark cuts to k before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or ordering(BY_CPU))))).filter(F.col("rank") <= k)
+    return ranked_per_host(df, *order, keys=keys).filter(F.col("rank") <= k)
 
 
 def newest_by_tier(logs: DataFrame, k: int = 20, keys: tuple[str, ...] = ("host",)) -> DataFrame:
@@ -76,4 +81,4 @@ def newest_by_tier(logs: DataFrame, k: int = 20, keys: tuple[str, ...] = ("host"
     return top_per_host(logs, k, tier.asc(), F.desc("seq"), keys=keys)
 
 
-__all__ = ["BY_CPU", "BY_MEM", "BY_NAME", "latest_by_host", "latest_row", "latest_snapshot", "metrics_period", "moment", "name_contains", "newest_by_tier", "ordering", "search_logs", "snapshot_at", "top_per_host"]
+__all__ = ["BY_CPU", "BY_MEM", "BY_NAME", "latest_by_host", "latest_row", "latest_snapshot", "metrics_period", "moment", "name_contains", "newest_by_tier", "ordering", "ranked_per_host", "search_logs", "snapshot_at", "top_per_host"]

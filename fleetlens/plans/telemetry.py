@@ -128,8 +128,8 @@ def processes_filter(spark, d):
     return sel.name_contains(sel.latest_snapshot(view(spark, d, "fx_processes")), "flag=3")
 
 
-def _sorted(order: tuple, k: int = 1000):
-    return lambda spark, d: sel.top_per_host(sel.latest_snapshot(view(spark, d, "fx_processes")), k, *sel.ordering(order)).select("host", "pid", "name", "cpu_percent", "mem_rss", "rank")
+def _sorted(order: tuple):
+    return lambda spark, d: sel.ranked_per_host(sel.latest_snapshot(view(spark, d, "fx_processes")), *sel.ordering(order)).select("host", "pid", "name", "cpu_percent", "mem_rss", "rank")
 
 
 def _sorted_sql(order: str) -> str:
