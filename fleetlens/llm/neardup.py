@@ -59,16 +59,13 @@ def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, HASHES)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1e-6) -> DataFrame:
-    """Groups rows of docs (doc_id, text) whose shingle sets have Jaccard similarity of at least percent / 100.
+def _grouped(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1e-6, mark: str | None = None) -> DataFrame:
+    """Rows of near_duplicates without kept, with root (a number for each component; null for texts without words).
 
-    Returns doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id), one row
-    per input row. Texts that are null or without words have an empty set and are linked with nothing; texts with fewer
-    than `words` words are one shingle; repeated rows and ties share a component; a null doc_id takes the component's
-    least id if there is one; an empty table gives no rows; other columns are ignored.
-    Band keys miss a pair of similarity 0.75 with chance 5e-6, the Bayesian rule with at most 8 * miss.
+    mark names a column of docs, a hash of the text, that is carried through.
     """
-    plain = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text")
+    carried = [mark] if mark else []
+    plain = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text", *carried)
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,12 +79,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: fl
                     else:
                         out.append((0, None, None, None))
                 n, digest, signature, keys = zip(*out, strict=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_shingles": n, "digest": digest, "signature": signature, "bands": keys})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_shingles": n, "digest": digest, "signature": signature, "bands": keys} | {m: part[m].array for m in carried})
 
-    sketch = stored(plain.mapInPandas(sketched, "doc_id long, n_shingles long, digest binary, signature binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "sketches")
+    sketch = stored(plain.mapInPandas(sketched, "doc_id long, n_shingles long, digest binary, signature binary, bands array<bigint>" + "".join(f", {m} long" for m in carried)).withColumn("row", F.monotonically_increasing_id()), "sketches")
     # a node for each distinct set: the row that stands for it, and the least doc_id
     classes = stored(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("label")), "set-classes")
-    nodes = stored(sketch.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "signature", "bands").join(classes.select(F.col("node").alias("row"), "label", "digest"), "row").withColumnRenamed("row", "node"), "set-nodes")
+    nodes = stored(sketch.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "signature", "bands", *carried).join(classes.select(F.col("node").alias("row"), "label", "digest"), "row").withColumnRenamed("row", "node"), "set-nodes")
     bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(bands.join(shared, "key"), "bucket-members")
@@ -109,7 +106,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: fl
 
     def verified(candidates: DataFrame) -> DataFrame:
         """The pairs of nodes whose full sets are similar enough, as labels."""
-        wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "doc_id", "digest"), "node").select("node", F.col("doc_id").alias("id"), "digest")
+        wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "doc_id", "digest", *carried), "node").select("node", F.col("doc_id").alias("id"), "digest", *[F.col(m).alias("id_mark") for m in carried])
+        same = plain["doc_id"].eqNullSafe(wanted["id"])
+        for m in carried:
+            same &= plain[m] == wanted["id_mark"]
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: fl
                         out.append((node, s.tobytes()))
                 yield pd.DataFrame(out, columns=["node", "hashes"])
 
-        full = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["id"])).select("node", "digest", "text").mapInPandas(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        full = plain.join(wanted, same).select("node", "digest", "text").mapInPandas(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
         def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -176,8 +176,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: fl
             roots = components(links)
     # a component's least doc_id
     placed = classes.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.join(placed.groupBy("root").agg(F.min("label").alias("least")), "root").select("digest", F.nullif("least", F.lit(_TOP)).alias("component"))
-    found = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    named = placed.join(placed.groupBy("root").agg(F.min("label").alias("least")), "root").select("digest", "root", F.nullif("least", F.lit(_TOP)).alias("component"))
+    found = sketch.select("doc_id", "n_shingles", "digest", *carried).join(named, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", "component_id", "root", *carried)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1e-6) -> DataFrame:
+    """Groups rows of docs (doc_id, text) whose shingle sets have Jaccard similarity of at least percent / 100.
+
+    Returns doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id), one row
+    per input row. Texts that are null or without words have an empty set and are linked with nothing; texts with fewer
+    than `words` words are one shingle; repeated rows and ties share a component; a null doc_id takes the component's
+    least id if there is one; an empty table gives no rows; other columns are ignored.
+    Band keys miss a pair of similarity 0.75 with chance 5e-6, the Bayesian rule with at most 8 * miss.
+    """
+    found = _grouped(docs, percent, words, miss)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -200,6 +213,16 @@ def _forest(found: list[tuple[int, int, int]], root: np.ndarray) -> list[tuple[i
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; columns unchanged. Repeated rows of a kept id stay once."""
-    ids = near_duplicates(docs, **how).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each component of near_duplicates; columns unchanged.
+
+    A document is a pair of doc_id and text. The one of least doc_id stays (null last, ties by a hash of the text), so a
+    null or repeated id takes no other document along: of several documents with one id, each stays or goes by its own
+    component. Texts without words are linked with nothing and stay. Rows equal in doc_id and text stay once.
+    """
+    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
+    rows = _grouped(marked, mark="_mark", **how)
+    alone = lambda c: F.when(F.col("root").isNull(), F.col(c)).alias(f"alone_{c}")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_mark")).alias("x")
+    ids = rows.groupBy("root", alone("doc_id"), alone("_mark")).agg(first).select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_id_mark"))
+    kept = marked.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_id_mark")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark")
