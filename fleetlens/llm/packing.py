@@ -1,16 +1,17 @@
 """Packing by shortest-pack-first over the length histogram.
 
 Texts become token ids and are cut every `size` tokens. The histogram of piece lengths (at most `size` numbers) is
-packed on the driver, lengths longest first, each into the open pattern with the least room left that still fits;
-only counts of patterns are kept. Patterns are then joined back to pieces by the rank of a piece among those of its
+packed on the driver, lengths longest first, each into the shortest open pattern, the one with the most room left, and
+into a new one where it does not fit there; only counts of patterns are kept. Patterns are then joined back to pieces by the rank of a piece among those of its
 length. Ranks are made per (length, salt), so no length's pieces are ever ordered in one task.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,18 +37,30 @@ _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
 # Marks that the tokenizer always parts from letters before them.
 _MARKS = ".,;:!?|#$%&*"
+# Fixed value: up to this letter lower-case words are composed already and lowering leaves them alone.
+_LATIN = "\u024f"
+
+
+def _byte_letters() -> str:
+    """The letter that the tokenizer writes for each byte: printable ones stand for themselves, others follow from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256))
+    return "".join(chr(b) if b in own else chr(256 + next(rest)) for b in range(256))
 
 
 class _Words(dict):
     """Token ids (little-endian 32-bit) of each run without white space; the tokenizer never joins across white space.
 
-    New runs are learned together, marks at their ends apart from their letters: one call for a batch of texts.
+    New runs are learned together, marks at their ends apart from their letters. Words of Latin letters go to the
+    tokenizer's model at once, as what its earlier steps (composing, lowering, splitting) do to them is plain; all
+    else goes through the whole tokenizer, one call for a batch.
     """
 
     def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.most, self.tokenizer = most, Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
@@ -67,6 +80,13 @@ class _Words(dict):
         data = ids.tobytes()
         self.parts |= {t: data[4 * ends[k] : 4 * ends[k + 1]] for k, t in enumerate(texts)}
 
+    def encode_words(self, texts: list[str]) -> None:
+        """Learns lower-case words of Latin letters."""
+        tokens, put = self.model.tokenize, struct.pack
+        for t in texts:
+            ids = [x.id for x in tokens(t if t.isascii() else t.encode().decode("latin-1").translate(self.letters))]
+            self.parts[t] = put(f"<{len(ids)}I", *ids)
+
     def learn(self, runs: set[str]) -> None:
         new = runs.difference(self)
         if len(self) + len(new) > self.most:
@@ -74,12 +94,21 @@ class _Words(dict):
             new = runs
         if len(self.parts) > 2 * self.most:
             self.parts.clear()
-        halves = {r: self.split(r) for r in new}
-        missing = sorted({p for h in halves.values() for p in h if p}.difference(self.parts))
-        for k in range(0, len(missing), 4000):
-            self.encode(missing[k : k + 4000])
-        get = self.parts.__getitem__
-        self.update({r: get(a) + get(b) if b else get(a) for r, (a, b) in halves.items()})
+        known, put = self.parts, self.__setitem__
+        # most runs are words, alone or with marks behind them; no tuples are kept for those
+        words = {r: r.lower() for r in new if r.isascii() and r.isalpha()}
+        marked = {r: self.split(r) for r in new.difference(words)}
+        missing = {p for p in words.values() if p not in known}
+        missing.update(p for h in marked.values() for p in h if p and p not in known)
+        plain = [p for p in missing if p.isalpha() and p.islower() and (p.isascii() or max(p) <= _LATIN)]
+        self.encode_words(plain)
+        rest = sorted(missing.difference(plain))
+        for k in range(0, len(rest), 4000):
+            self.encode(rest[k : k + 4000])
+        for r, low in words.items():
+            put(r, known[low])
+        for r, (low, marks) in marked.items():
+            put(r, known[low] + known[marks] if marks else known[low])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -121,9 +150,10 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, keep_i
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns ([(length, how many in one pack)], packs) that hold every counted piece.
 
-    Lengths go longest first; a length goes into the open pattern with the least room that fits it. Where pattern and
-    length differ in number, the pattern is split or the rest of the length goes on. Work and patterns are bounded by
-    the number of distinct lengths, not by the number of pieces.
+    Lengths go longest first; a length goes into the shortest open packs, as many at once as share a pattern, and
+    where even those have too little room, into new ones, one piece in each. A pack that got a piece has less room
+    than before, so it is not the shortest any more; only packs that are the only ones left take a second piece of the
+    same length at once. Work is bounded by the number of distinct lengths and patterns, not by the number of pieces.
     """
     open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # room left -> patterns and their counts
     rooms: list[int] = []
@@ -134,27 +164,33 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[list
             insort(rooms, room)
         open_[room].append((pattern, packs))
 
+    def with_one(pattern: tuple[tuple[int, int], ...], length: int) -> tuple[tuple[int, int], ...]:
+        if pattern and pattern[-1][0] == length:
+            return (*pattern[:-1], (length, pattern[-1][1] + 1))
+        return (*pattern, (length, 1))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                fit = min(size // length, left)
+            if not rooms or rooms[-1] < length:
+                # new packs, only as many as the pieces need that fill each other up: a new pack stays the shortest
+                fit = size // length
                 packs = left // fit
-                add(size - fit * length, ((length, fit),), packs)
-                left -= packs * fit
-                continue
-            room = rooms[at]
+                if packs:
+                    add(size - fit * length, ((length, fit),), packs)
+                if left % fit:
+                    add(size - left % fit * length, ((length, left % fit),), 1)
+                break
+            room = rooms[-1]
             pattern, packs = open_[room].pop()
             if not open_[room]:
                 del open_[room]
-                rooms.pop(at)
-            fit = min(room // length, left)
-            filled = min(packs, left // fit)
-            add(room - fit * length, (*pattern, (length, fit)), filled)
+                rooms.pop()
+            filled = min(packs, left)
+            add(room - length, with_one(pattern, length), filled)
             if packs > filled:
                 add(room, pattern, packs - filled)
-            left -= filled * fit
+            left -= filled
     return [(list(p), n) for rows in open_.values() for p, n in rows]
 
 
