@@ -6,8 +6,12 @@ inclusion probability p of one more. Documents are ranked by (u / (1 - u)) / (p
 the document, and the lowest ranks are taken until the source's remaining words are used up; of the rest, the one
 document that comes nearest to the words still missing is taken too.
 
-No source is ever sorted or gathered whole: ranks are binned, bins are summed with map-side combine, and only the one
-bin of each source in which the cut falls is ordered.
+No source is ever sorted or gathered whole: the logarithms of the ranks are binned, bins are summed with map-side
+combine, and only the one bin of each source in which the cut falls is ordered. A document's log rank spreads at least
+as the logistic distribution whatever its p, so a bin holds at most a part 1 / (4 * BINS) of a source's documents.
+
+The one document that closes the gap is not drawn by its odds: of a source's n ranked documents it changes one, so that
+an inclusion probability is off by at most 1/n. Without it a source misses its target by up to a whole document.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import MIN_LONG, stored, uniform, word_count
+from fleetlens.llm.common import MIN_LONG, private, stored, uniform, word_count
 
 #: More sources than this are joined by shuffle instead of broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 20_000
-BINS = 4096
+#: Bins for one unit of a rank's logarithm.
+BINS = 256
 
 
 def water_level(items: DataFrame, by: list[str], weight: str, cap: str, total: Column) -> DataFrame:
@@ -44,11 +49,16 @@ def water_level(items: DataFrame, by: list[str], weight: str, cap: str, total: C
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """docs' rows as often as pareto_mix takes them; columns unchanged. Repeated rows are taken as often as all of them."""
-    key = lambda d: F.coalesce(d.cast("long"), F.lit(MIN_LONG)).alias("_id")
-    copies = pareto_mix(docs.select("doc_id", "text", "source"), **how).groupBy(key(F.col("doc_id")), F.col("mark").alias("_mark")).agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    once = docs.select("*", key(F.col("doc_id")), F.xxhash64("text").alias("_mark")).dropDuplicates(["_id", "_mark"])
-    return once.join(copies, ["_id", "_mark"]).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs' rows as often as pareto_mix takes them; columns unchanged, whatever their names.
+
+    Rows that are equal in doc_id and text are taken as often as all of them together; a null doc_id is an id like
+    another; documents without words are never taken; an empty table gives no rows.
+    """
+    doc, mark, copies = private("doc"), private("mark"), private("copies")
+    taken = pareto_mix(docs.select("doc_id", "text", "source"), **how)
+    taken = taken.groupBy(F.coalesce("doc_id", F.lit(MIN_LONG)).alias(doc), F.col("mark").alias(mark)).agg(F.sum("copies").cast("int").alias(copies)).filter(F.col(copies) > 0)
+    once = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)).alias(doc), F.xxhash64("text").alias(mark)).dropDuplicates([doc, mark])
+    return once.join(taken, [doc, mark]).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)).drop(copies)
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 9, classes: int = 32) -> DataFrame:
@@ -90,7 +100,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     hint = F.broadcast if known else (lambda x: x)
     u = uniform("doc_id", "_t", seed=seed)
     odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-    dealt = narrow.join(hint(share), ["_s", "_w"]).withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_bin", F.when(F.col("_q").isNotNull(), F.least(F.lit(BINS - 1), F.floor(F.col("_q") / (1 + F.col("_q")) * BINS)).cast("int")))
+    dealt = narrow.join(hint(share), ["_s", "_w"]).withColumn("_q", F.when(F.col("_p") > 0, odds)).withColumn("_bin", F.when(F.col("_q").isNotNull(), F.floor(F.ln("_q") * BINS).cast("int")))
 
     bins = dealt.filter("_bin IS NOT NULL").groupBy("_s", "_bin").agg(F.sum("size").alias("_n"), F.first("_rest").alias("_rest"))
     run = Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

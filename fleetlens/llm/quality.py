@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import SPACE_CHARS, stored, trimmed, uniform, words
+from fleetlens.llm.common import SPACE_CHARS, private, stored, trimmed, uniform, words
 
 # The symbols counted as such, and the base rule's limits.
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +35,10 @@ FEATURES = {
 }
 
 
+#: Helper columns stand beside the caller's own.
+_WORDS, _LINES, _BODY, _WINDOWS, _PLACED, _AT = (private(x) for x in ("words", "lines", "body", "windows", "placed", "at"))
+
+
 def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b).cast("double")).otherwise(F.lit(0.0))
 
@@ -51,32 +55,32 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    step = docs.withColumns({"_words": words(text), "_lines": lines, "_body": trimmed(text)})
-    n = F.size("_words")
-    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    step = docs.withColumns({_WORDS: words(text), _LINES: lines, _BODY: trimmed(text)})
+    n = F.size(_WORDS)
+    window = lambda i: F.xxhash64(F.get(_WORDS, i), F.get(_WORDS, i + 1), F.get(_WORDS, i + 2))
     none = F.array().cast("array<bigint>")
     step = step.withColumns(
         {
             "n_words": n.cast("long"),
             "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
             "n_symbols": _count_of(text, SYMBOLS),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_upper": (F.length("_body") - F.length(F.regexp_replace("_body", r"\p{Lu}", ""))).cast("long"),
+            "n_lines": F.size(_LINES).cast("long"),
+            "n_dup_lines": (F.size(_LINES) - F.size(F.array_distinct(_LINES))).cast("long"),
+            "n_upper": (F.length(_BODY) - F.length(F.regexp_replace(_BODY, r"\p{Lu}", ""))).cast("long"),
             "n_marks": _count_of(text, "!?"),
             "n_digits": _count_of(text, "0123456789"),
-            "_windows": F.when(n < 3, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)),
+            _WINDOWS: F.when(n < 3, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)),
         }
-    ).drop("_words", "_lines", "_body")
+    ).drop(_WORDS, _LINES, _BODY)
     # windows found twice or more, as sorted positions; skipped when all differ
-    placed = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    step = step.withColumn("_placed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed)).drop("_windows")
+    placed = F.array_sort(F.transform(_WINDOWS, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.withColumn(_PLACED, F.when(F.size(F.array_distinct(_WINDOWS)) < F.size(_WINDOWS), placed)).drop(_WINDOWS)
     same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-    twice = F.filter("_placed", lambda x, j: same(x, F.get("_placed", j + 1)) | ((j > 0) & same(x, F.get("_placed", F.greatest(j - 1, F.lit(0))))))
-    step = step.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("_placed")
+    twice = F.filter(_PLACED, lambda x, j: same(x, F.get(_PLACED, j + 1)) | ((j > 0) & same(x, F.get(_PLACED, F.greatest(j - 1, F.lit(0))))))
+    step = step.withColumn(_AT, F.array_sort(F.transform(twice, lambda x: x["i"]))).drop(_PLACED)
     # every window covers three words; overlapping windows cover the gap between their starts
-    gaps = F.aggregate(F.zip_with(F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), lambda b, a: F.least(F.lit(3), b - a)), F.lit(0), lambda s, x: s + x)
-    step = step.withColumn("n_repeat_words", F.when(F.coalesce(F.size("_at"), F.lit(0)) > 0, gaps + 3).otherwise(F.lit(0)).cast("long"))
+    gaps = F.aggregate(F.zip_with(F.slice(_AT, 2, F.greatest(F.size(_AT), F.lit(1))), F.slice(_AT, 1, F.greatest(F.size(_AT) - 1, F.lit(0))), lambda b, a: F.least(F.lit(3), b - a)), F.lit(0), lambda s, x: s + x)
+    step = step.withColumn("n_repeat_words", F.when(F.coalesce(F.size(_AT), F.lit(0)) > 0, gaps + 3).otherwise(F.lit(0)).cast("long"))
     # a generator of one row: filters on the statistics stay above it instead of being inlined into these expressions
     return step.select(*[F.col(f"`{c}`") for c in docs.columns if c not in STATISTICS], F.inline(F.array(F.struct(*STATISTICS))))
 
@@ -131,13 +135,15 @@ def _best(cells: dict[tuple[str, int], tuple[int, int]], cuts: dict[str, list[fl
     return best
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, bins: int = 24, max_rules: int = 6, max_tests: int = 3, precision: float = 0.97, seed: int = 8) -> list[Rule]:
+def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, bins: int = 24, max_rules: int = 12, max_tests: int = 3, precision: float = 0.97, seed: int = 8) -> list[Rule]:
     """Learns rules that reject documents labelled quality 0.
 
     docs: doc_id, text. labels: doc_id, quality. At most about max_labelled labelled documents, chosen by a hash of
     doc_id, are used; two thirds grow rules and one third prunes and judges them. Rows with null ids, labels or
     documents that are missing are ignored; repeated labels of an id count once (the worst one); with one class only,
-    or no labels, there are no rules. A rule stays if its precision on the judging third is at least `precision`.
+    or no labels, there are no rules. A rule stays if its precision on the judging third is at least `precision`; the
+    growing rows of one that does not are set aside, and the search goes on. It ends when no bad row is left, no test
+    gains anything, or max_rules rules stay (or twice as many were tried).
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_quality"))
     total = known.count()
@@ -160,7 +166,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     binned = stored(rows.withColumns({f"_{c}": bin_of(c) for c in FEATURES}), "quality-bins")
     rules: list[Rule] = []
     left = binned
-    while len(rules) < max_rules:
+    for _ in range(2 * max_rules):
+        if len(rules) == max_rules:
+            break
         tests: list[Test] = []
         inside = left.filter("grow")
         while len(tests) < max_tests:
@@ -190,7 +198,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
         k = -max(worth)[2]
         p, n = got[f"p{k}"], got[f"n{k}"]
         if p < 3 or p < precision * (p + n):
-            break
+            left = left.filter(~(F.col("grow") & heads[-1]))
+            continue
         rules.append(Rule(tuple(tests[: k + 1])))
         left = left.filter(~heads[k])
     return rules
@@ -199,8 +208,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs plus statistics, base_failed, rejected_by (base, a rule's name, or null) and kept.
 
-    Every input row gets one output row, repeated rows and null texts (no words: base_failed) included; columns of
-    docs with a name that this adds are replaced.
+    Every input row gets one output row, repeated rows and null texts (no words: base_failed) included; an empty table
+    gives no rows; columns of docs with a name that this adds are replaced, all others pass through.
     """
+    docs = docs.drop("base_failed", "rejected_by", "kept")
     out = with_statistics(docs).withColumn("base_failed", base_failed())
     return out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(rules))).withColumn("kept", F.col("rejected_by").isNull())
