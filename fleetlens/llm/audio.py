@@ -139,6 +139,24 @@ def from_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
+def read_tensors(data: bytes) -> pa.Table:
+    """Inverse of the stored tensors column."""
+    return pa.ipc.open_stream(data).read_all()
+
+
+def read_frames(table: pa.Table, s: AudioSpec) -> np.ndarray:
+    """The log-mel frames of a clip out of its stored tensors: overlaps once, padding left out."""
+    data = table["logmel"].combine_chunks().to_numpy_ndarray()
+    second, step = s.hop / (s.rate * s.up / s.down), s.rows - s.overlap
+    counts = np.rint((np.asarray(table["end_s"]) - np.asarray(table["start_s"])) / second).astype(int)
+    return np.concatenate([t[: n if k == len(data) - 1 else step] for k, (t, n) in enumerate(zip(data, counts, strict=True))])
+
+
+def spans_table(spans: list[tuple[int, int]], s: AudioSpec) -> pa.Table:
+    second = s.hop / (s.rate * s.up / s.down)
+    return pa.table({"start_s": pa.array([a * second for a, _ in spans], pa.float64()), "end_s": pa.array([b * second for _, b in spans], pa.float64())})
+
+
 def padded(data: bytes, to: int = 64) -> bytes:
     """data with zero bytes up to a positive multiple of `to`."""
     return data + bytes(max(to, -(-len(data) // to) * to) - len(data))
@@ -147,14 +165,17 @@ def padded(data: bytes, to: int = 64) -> bytes:
 def features(docs: DataFrame, spec: AudioSpec = AudioSpec(), keep: tuple[str, ...] = ("media", "tensors", "spans")) -> DataFrame:
     """Stores each text of docs (doc_id, text) as a WAV clip, reads it back and computes its features.
 
-    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (a digest:
-    frames, tensors, segments, active frames, mean log-mel in tenths, checksum of rounded tensors), n_frames, and as
-    named in `keep`: media (binary, WAV), tensors (binary, an Arrow IPC stream of start_s, end_s and the fixed-shape
-    tensor logmel), spans (array of start_s, end_s: the energy segments).
-    Null and empty texts are 64 zero bytes; null doc_id and repeated rows pass through; every input row gives one row.
+    Tensors and energy segments are written as Arrow IPC streams and read back from those bytes; feature is computed of
+    what was read. Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    feature (a digest: frames, tensors, segments, active frames, mean log-mel in tenths, checksum of the rounded
+    frames), n_frames, tensors_bytes and tensors_sha256 (of the tensors' stream), and as named in `keep`: media (binary,
+    WAV), tensors (binary, an Arrow IPC stream of start_s, end_s and the fixed-shape tensor logmel), spans (array of
+    start_s, end_s: the energy segments).
+    Null and empty texts are 64 zero bytes; a long text is one clip, worked on in blocks of frames; null doc_id and
+    repeated rows pass through; every input row gives one row, an empty table none; other columns are ignored.
     """
     extra = {"media": "media binary", "tensors": "tensors binary", "spans": "spans array<struct<start_s: double, end_s: double>>"}
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long" + "".join(f", {extra[k]}" for k in keep)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, tensors_bytes long, tensors_sha256 string" + "".join(f", {extra[k]}" for k in keep)
 
     def clip(text: str | None) -> tuple:
         data = (text or "").encode()
@@ -162,16 +183,18 @@ def features(docs: DataFrame, spec: AudioSpec = AudioSpec(), keep: tuple[str, ..
         back = from_wav(media)
         mel, level = log_mel(np.frombuffer(back, np.uint8), spec)
         spans = segments(level, spec)
-        table = tensors(mel, spec)
-        means = np.rint(mel.mean(axis=0, dtype=np.float64) * 10).astype(int)
-        check = zlib.crc32(np.rint(mel * 8).astype("<i2").tobytes())
-        feature = f"{len(mel)}:{len(table)}:{len(spans)}:{sum(b - a for a, b in spans)}:{','.join(map(str, means))}:{check:08x}"
-        out = [len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(mel)]
-        second = spec.hop / (spec.rate * spec.up / spec.down)
-        more = {"media": lambda: media, "tensors": lambda: to_ipc(table), "spans": lambda: [{"start_s": a * second, "end_s": b * second} for a, b in spans]}
+        held, segmented = to_ipc(tensors(mel, spec)), to_ipc(spans_table(spans, spec))
+        table, times = read_tensors(held), read_tensors(segmented).to_pylist()
+        frames, second = read_frames(table, spec), spec.hop / (spec.rate * spec.up / spec.down)
+        means = np.rint(frames.mean(axis=0, dtype=np.float64) * 10).astype(int)
+        check = zlib.crc32(np.rint(frames * 8).astype("<i2").tobytes())
+        active = sum(round((x["end_s"] - x["start_s"]) / second) for x in times)
+        feature = f"{len(frames)}:{len(table)}:{len(times)}:{active}:{','.join(map(str, means))}:{check:08x}"
+        out = [len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), len(held), hashlib.sha256(held).hexdigest()]
+        more = {"media": lambda: media, "tensors": lambda: held, "spans": lambda: times}
         return (*out, *(more[k]() for k in keep))
 
-    names = [x.split()[0] for x in schema.split(", ")][: 9] + list(keep)
+    names = [x.split()[0] for x in schema.split(", ")][:11] + list(keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -182,10 +205,3 @@ def features(docs: DataFrame, spec: AudioSpec = AudioSpec(), keep: tuple[str, ..
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInPandas(run, schema)
-
-
-def read_tensors(data: bytes) -> pa.Table:
-    """Inverse of the stored tensors column."""
-    return pa.ipc.open_stream(data).read_all()
-
-
