@@ -110,11 +110,13 @@ def score(text: str, span: Span) -> float:
 def find_pii(docs: DataFrame) -> DataFrame:
     """Finds personal data in the whole text of each row of docs (doc_id, text).
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans (base ones and added ones that reach
-    LEAST), scores (kind:start:score). Offsets are code points, ends exclusive. Null and empty texts have no spans;
-    repeated rows and null doc_id pass through, one output row for each input row.
+    Returns doc_id, n_email, n_ip, n_card, n_phone, n_added, n_spans (all that are listed), base_sha256, spans (base ones
+    and added ones that reach LEAST), scores (kind:start:score of every proposed span). Base spans are listed whatever
+    their score; for them a context word moves the score alone, for added kinds it decides. Offsets are code points,
+    ends exclusive. Null and empty texts have no spans; a long text is scanned whole, in linear time; repeated rows and
+    null doc_id pass through, one output row for each input row; an empty table gives none; other columns are ignored.
     """
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, scores string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, n_spans long, base_sha256 string, spans string, scores string"
 
     def one(text: str | None) -> tuple:
         text = text or ""
@@ -123,7 +125,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         more = [s for s, x in scored[len(base) :] if x >= LEAST]
         counts = [sum(s[2] == k for s in base) for k in BASE]
         said = ",".join(f"{s[2]}:{s[0]}:{x:.1f}" for s, x in sorted(scored))
-        return (*counts, len(more), digest(joined(base, KINDS)), joined(base + more, KINDS), said)
+        return (*counts, len(more), len(base) + len(more), digest(joined(base, KINDS)), joined(base + more, KINDS), said)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
