@@ -16,7 +16,6 @@ Texts are shuffled once, compressed, into a table bucketed by doc_id; later join
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import shared_dir, stored
+from fleetlens.llm.common import bucketed, stored
 from fleetlens.llm.shingles import mixed, powers
 from fleetlens.llm.suffixes import repeated_windows
 
@@ -74,14 +73,6 @@ def _pieces(x: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h[anchor].view(np.int64), piece.view(np.int64), lo + shift, left, windows
 
 
-def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """df as a table in the shared folder, bucketed by doc_id, so that joins on it need no shuffle of this side."""
-    spark = df.sparkSession
-    table = f"fleetlens_{name}_{uuid.uuid4().hex}"
-    df.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{shared_dir(spark).rstrip('/')}/fleetlens/{table}").saveAsTable(table)
-    return spark.table(table)
-
-
 def remove_repeats(docs: DataFrame, group_rows: int = 2000, most_pieces: int = 20_000, keep_text: bool = False) -> DataFrame:
     """Removes from each row of docs (doc_id, text) the bytes covered by repeated strings of LENGTH bytes.
 
@@ -112,7 +103,7 @@ def remove_repeats(docs: DataFrame, group_rows: int = 2000, most_pieces: int = 2
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": [zlib.crc32(d) << 31 | len(d) & 0x7FFFFFFF for d in data], "data": [squeeze.compress(d) for d in data]})
 
     rows = plain.mapInPandas(packed, "doc_id long, mark long, data binary").repartition(buckets, "doc_id").groupBy("doc_id", "mark").agg(F.first("data").alias("data"), F.count("*").alias("times"))
-    texts = _bucketed(rows, "texts", buckets)
+    texts = bucketed(rows, "texts", "doc_id", buckets)
 
     anchors = plain.mapInPandas(anchored, "doc_id long, anchors array<bigint>").select("doc_id", F.explode("anchors").alias("anchor")).repartition(buckets, "anchor")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
@@ -129,7 +120,7 @@ def remove_repeats(docs: DataFrame, group_rows: int = 2000, most_pieces: int = 2
             yield pd.DataFrame(out, columns=["doc_id", "mark", "anchor", "piece", "lo", "shape"])
 
     held = texts.join(wanted, "doc_id").select("doc_id", "mark", "data", "anchors").mapInPandas(piecewise, "doc_id long, mark long, anchor array<bigint>, piece array<bigint>, lo array<int>, shape array<int>")
-    places = _bucketed(held, "places", buckets)
+    places = bucketed(held, "places", "doc_id", buckets)
 
     # every different piece with the document that has it first; equal pieces meet after a map-side combine
     flat = places.select("doc_id", F.explode(F.array_distinct(F.arrays_zip("anchor", "piece"))).alias("x")).select("doc_id", F.col("x.anchor").alias("anchor"), F.col("x.piece").alias("piece"))

@@ -6,58 +6,60 @@ import numpy as np
 
 
 def suffix_array(s: list[int]) -> list[int]:
-    """Order of the suffixes of s (positive integers) and the empty one, which comes first.
+    """Order of the suffixes of s (positive integers, none much above its length) and the empty one, which comes first.
 
     First all suffixes are grouped by their Lyndon prefix: groups go from the greatest down; every suffix of a group
     finds its previous smaller suffix over pointers, and those so found move behind the rest of their own group, apart
-    by how often they were found. Then the groups' orders are filled in ascending order, following the same pointers;
-    nothing is renamed or sorted again.
+    by how often they were found. Then the groups' orders are filled in ascending order, following the same pointers.
+    Nothing is sorted or renamed again: letters are counted, a group's positions stay ascending (its suffixes find
+    theirs in ascending order), and how often is told apart by counting too, so the work is linear.
     """
     n = len(s)
     text = [*s, 0]
-    order = sorted(range(n + 1), key=text.__getitem__)
-    place, group, size = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    start = 0
-    for at, i in enumerate(order):
-        if at and text[i] != text[order[at - 1]]:
-            start = at
-        place[i], group[i] = at, start
-        size[start] += 1
+    counts = [0] * (max(text) + 1)
+    for c in text:
+        counts[c] += 1
+    begins, at = [0] * len(counts), 0
+    for c, k in enumerate(counts):
+        begins[c] = at
+        at += k
+    group = [begins[c] for c in text]
+    size, first_of = [0] * (n + 1), [0] * (n + 1)  # by a group's first place; the first place by the last one
+    held: list[list[int]] = [[] for _ in range(n + 1)]  # positions, also such as have left the group since
+    for i, g in enumerate(group):
+        held[g].append(i)
+    for c, k in enumerate(counts):
+        if k:
+            size[begins[c]] = k
+            first_of[begins[c] + k - 1] = begins[c]
     before = [-1] * (n + 1)
     end = n
     while end >= 0:
-        g = group[order[end]]
+        g = first_of[end]
         found: dict[int, int] = {}
-        # ascending, so that pointers inside the group are known when they are followed
-        for i in sorted(order[g : end + 1]) if end > g else (order[g],):
-            p = i - 1
-            while p >= 0 and group[p] >= g:
-                p = before[p]
-            before[i] = p
-            if p >= 0:
-                found[p] = found.get(p, 0) + 1
-        if len(found) == 1:
-            moves = list(found.items())
-        else:
-            moves = sorted(found.items(), key=lambda x: -x[1])
-        k = 0
-        while k < len(moves):
-            times, old = moves[k][1], {}
-            while k < len(moves) and moves[k][1] == times:
-                p = moves[k][0]
-                h = group[p]
-                tail = h + size[h] - 1
-                q, x = place[p], order[tail]
-                order[q], order[tail] = x, p
-                place[x], place[p] = q, tail
-                size[h] -= 1
-                old.setdefault(h, []).append(p)
-                k += 1
-            for h, moved in old.items():
-                new = h + size[h]
+        for i in held[g]:
+            if group[i] == g:
+                p = i - 1
+                while p >= 0 and group[p] >= g:
+                    p = before[p]
+                before[i] = p
+                if p >= 0:
+                    found[p] = found.get(p, 0) + 1
+        by: dict[int, dict[int, list[int]]] = {}
+        for p, times in found.items():
+            by.setdefault(times, {}).setdefault(group[p], []).append(p)
+        for times in range(max(by, default=0), 0, -1):
+            # groups are looked up anew: of one old group, those found more often have already left
+            for h, moved in by.get(times, {}).items():
+                left = size[h] - len(moved)
+                if not left:
+                    continue  # the whole group was found as often
+                new = h + left
+                size[h], size[new] = left, len(moved)
+                first_of[new - 1], first_of[new + len(moved) - 1] = h, new
+                held[new] = moved
                 for p in moved:
                     group[p] = new
-                size[new] = len(moved)
         end = g - 1
 
     fill = list(range(n + 1))
@@ -76,6 +78,17 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
+def names_of(values: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of 64-bit letters among the different ones, by four passes of counting sort."""
+    order = np.arange(len(values))
+    for shift in (0, 16, 32, 48):
+        digit = ((values >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+        order = order[np.argsort(digit[order], kind="stable")]  # a radix sort for 16-bit numbers
+    ranks = np.zeros(len(values), np.int64)
+    ranks[order[1:]] = np.cumsum(values[order[1:]] != values[order[:-1]])
+    return ranks
+
+
 #: Pieces are laid out in rows of bytes with their anchors in one column; 8 bytes are one letter of the suffix array.
 ANCHOR_COLUMN, ROW, LETTER = 72, 184, 8
 
@@ -102,7 +115,7 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, windows: np.ndarra
     column = np.arange(offsets[-1]) - offsets[piece] + first[piece]
     divider = column == last[piece]
     values = letters[piece, np.minimum(column, letters.shape[1] - 1)]
-    names = np.unique(values[~divider], return_inverse=True)[1] + 2
+    names = names_of(values[~divider]) + 2
     s = np.ones(len(values), np.int64)
     s[~divider] = names
     sa = np.array(suffix_array(s.tolist())[1:])
