@@ -52,11 +52,13 @@ def _sampled(rows: DataFrame, expected: float, total: int, seed: int) -> list[tu
     return [((r["_key"], r["_oid"], r["_tie"]), max(step, float(r["_size"]))) for r in got]
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 40, ranges: int = 160, per_range: int = 24, rounds: int = 3) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 40, ranges: int | None = None, per_range: int = 24, rounds: int = 3) -> DataFrame:
     """Puts each row of docs (doc_id, text) into a shard; shards are near equal in bytes (UTF-8 bytes of text plus 16).
 
     Order is (md5 of text, doc_id), so equal texts are neighbours unless a shard boundary cuts their group.
-    ranges, per_range: how many ranges, and sampled keys for each, which bound what reaches the driver.
+    ranges, per_range: how many ranges (if not given, one for a million rows, from 160 to 640), and sampled keys for each,
+    which bound what reaches the driver. A range that has more than three times its part of the rows or of the bytes is
+    subdivided.
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard, one row per input row.
     Null text counts as no bytes (size 16, checksum 0); null doc_id sorts first; repeated rows are each placed; a text
     longer than a shard leaves neighbouring shards empty; an empty table gives no rows; other columns are ignored.
@@ -74,18 +76,20 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, ranges: int = 160, per_r
         "shard-keys",
     )
     whole = narrow.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes")).first()
+    ranges = ranges or min(640, max(160, whole["n"] // 1_000_000))
     bounds = _quantiles(_sampled(narrow, ranges * per_range, whole["bytes"], 0), ranges)
     for turn in range(rounds):
         ranged = narrow.withColumn("_range", _range_of(bounds))
         totals = {r["_range"]: r for r in ranged.groupBy("_range").agg(F.count("*").alias("n"), F.sum("_size").alias("bytes")).collect()}
         mean = max(1.0, whole["n"] / (len(bounds) + 1))
-        overfull = {k: r for k, r in totals.items() if r["n"] > 3 * mean and r["n"] > 1000}
+        mean_bytes = max(1.0, whole["bytes"] / (len(bounds) + 1))
+        overfull = {k: r for k, r in totals.items() if (r["n"] > 3 * mean or r["bytes"] > 3 * mean_bytes) and r["n"] > 1000}
         if not overfull or turn == rounds - 1:
             break
         # subdivide: as many new boundaries as the range is too full, from a sample of its own rows
         inside = ranged.filter(F.col("_range").isin(*overfull))
         share = sum(r["bytes"] for r in overfull.values())
-        pieces = {k: math.ceil(r["n"] / mean) for k, r in overfull.items()}
+        pieces = {k: math.ceil(max(r["n"] / mean, r["bytes"] / mean_bytes)) for k, r in overfull.items()}
         new: dict[int, list] = {k: [] for k in overfull}
         for bound, w in _sampled(inside, per_range * sum(pieces.values()), share, turn + 1):
             new.setdefault(bisect_right(bounds, bound), []).append((bound, w))
