@@ -8,16 +8,16 @@ WITH split AS (
     list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM split
 ), classes AS (
-  SELECT words, min(ord) AS first FROM lines WHERE len(words) >= 6 GROUP BY words
+  SELECT words, min(ord) AS first FROM lines WHERE len(words) > 0 GROUP BY words
 ), cuts AS (
   SELECT words, first, gap, list_concat(words[1:gap - 1], words[gap + 1:]) AS v
-  FROM (SELECT words, first, unnest(range(1, len(words) + 1)) AS gap FROM classes)
+  FROM (SELECT words, first, unnest(range(1, len(words) + 1)) AS gap FROM classes WHERE len(words) >= 6)
 ), near AS (
   SELECT DISTINCT c.words FROM cuts c JOIN (SELECT v, gap, min(first) AS least FROM cuts GROUP BY v, gap) g USING (v, gap) WHERE g.least < c.first
   UNION
-  SELECT c.words FROM cuts c JOIN classes s ON s.words = c.v WHERE s.first < c.first
+  SELECT c.words FROM cuts c JOIN classes s ON s.words = c.v WHERE s.first < c.first AND len(s.words) >= 6
   UNION
-  SELECT s.words FROM classes s JOIN cuts c ON s.words = c.v WHERE c.first < s.first
+  SELECT s.words FROM classes s JOIN cuts c ON s.words = c.v WHERE c.first < s.first AND len(s.words) >= 6
 ), judged AS (
   SELECT l.doc_id, l.line, l.body, coalesce(l.ord > c.first, FALSE) AS exact, n.words IS NOT NULL AS near
   FROM lines l LEFT JOIN classes c ON c.words = l.words LEFT JOIN near n ON n.words = l.words

@@ -34,8 +34,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_exact=1)
-    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    # the kept text is put together once, for its size and for its hash
+    out = out.select("doc_id", "n_lines", "n_exact", "n_near", F.explode(F.array(F.coalesce("text", F.lit("")))).alias("kept"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.octet_length("kept").cast("long").alias("kept_bytes"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def rows(spark):
 
 
 def test_short_lines(rows):
-    got = {r["doc_id"]: (r["n_exact"], r["n_near"], r["text"]) for r in lines.dedup_lines(rows, min_exact=1).collect()}
+    got = {r["doc_id"]: (r["n_exact"], r["n_near"], r["text"]) for r in lines.dedup_lines(rows).collect()}
     assert got == WANT
 
 
