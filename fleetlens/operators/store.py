@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.functions.timeutil import moment
+from fleetlens.functions.timeutil import time_filter
 from fleetlens.schemas import TABLES
 
 
 def fresh(df: DataFrame, now: datetime | str, max_age_seconds: int) -> DataFrame:
-    """Rows that are not older than max_age_seconds; a row exactly that old stays."""
-    return df.filter(F.col("timestamp") >= moment(now) - F.expr(f"INTERVAL {int(max_age_seconds)} SECOND"))
+    """Rows that are not older than max_age_seconds; a row exactly that old stays. Older dates are not read."""
+    return time_filter(df, datetime.fromisoformat(str(now)) - timedelta(seconds=int(max_age_seconds)))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which driver and executors share; a local session may use its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/fleetlens-{name}-{uuid.uuid4().hex}"
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -36,17 +47,23 @@ class Store:
     def create(self) -> None:
         """Makes the tables that are absent."""
         for name, schema in TABLES.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy("date").parquet(self.path(name))
+            self.spark.createDataFrame([], schema).withColumn("batch", F.lit("")).write.mode("ignore").partitionBy("date", "batch").parquet(self.path(name))
 
     def read(self, table: str) -> DataFrame:
         """The table; files written before a column was added give null for it."""
-        return self.spark.read.option("mergeSchema", "true").schema(TABLES[table]).parquet(self.path(table))
+        schema = T.StructType([*TABLES[table], T.StructField("batch", T.StringType())])
+        return self.spark.read.option("mergeSchema", "true").schema(schema).parquet(self.path(table)).drop("batch")
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Appends one tick's rows; columns are matched by name, missing ones are null, date follows timestamp."""
+    def append(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Appends one tick's rows; columns are matched by name, missing ones are null, date follows timestamp.
+
+        Rows lie in a folder for each date and batch. A batch that is written again, as a stream does after a failure,
+        takes its own place again, so that its rows are there once; without a name every call is a batch of its own.
+        """
         have = set(rows.columns)
         cols = [F.col("timestamp").cast("date").alias("date") if f.name == "date" else (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in TABLES[table]]
-        rows.select(*cols).write.mode("append").partitionBy("date").parquet(self.path(table))
+        out = rows.select(*cols, F.lit(batch or uuid.uuid4().hex).alias("batch"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(self.path(table))
 
     def views(self) -> None:
         for name in TABLES:
@@ -55,28 +72,57 @@ class Store:
     def retain(self, now: datetime, max_age: timedelta) -> None:
         """Drops what is older than max_age: whole dates by their folder, and the boundary date by one rewrite.
 
-        Not to be run together with appends to the boundary date.
+        The rewrite stands complete beside the table before the old folder goes. A run that was cut off between is
+        finished by the next one. Not to be run together with appends to the boundary date.
         """
         cut = now - max_age
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        files = _Files(self.spark)
         for name in TABLES:
-            base = hadoop.Path(self.path(name))
-            fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            if not fs.exists(base):
-                continue
-            for entry in fs.listStatus(base):
-                day = entry.getPath().getName().removeprefix("date=")
-                if entry.isDirectory() and len(day) == 10 and day < f"{cut:%Y-%m-%d}":
-                    fs.delete(entry.getPath(), True)
-            edge = hadoop.Path(f"{self.path(name)}/date={cut:%Y-%m-%d}")
-            if not fs.exists(edge):
-                continue
-            rows = self.read(name).filter(F.col("date") == F.lit(f"{cut:%Y-%m-%d}").cast("date")).filter(F.col("timestamp") >= moment(cut))
-            kept = hadoop.Path(f"{self.root.rstrip('/')}/_retained-{name}")
-            fs.delete(kept, True)
-            rows.drop("date").write.parquet(kept.toString())
-            fs.delete(edge, True)
-            if self.spark.read.schema(rows.drop("date").schema).parquet(kept.toString()).isEmpty():
-                fs.delete(kept, True)
-            else:
-                fs.rename(kept, edge)
+            aside = f"{self.root.rstrip('/')}/_retained-{name}"
+            for left in files.folders(aside):
+                self._put(files, f"{aside}/{left}", f"{self.path(name)}/{left}")
+            for day in files.folders(self.path(name)):
+                if day.startswith("date=") and len(day) == 15 and day[5:] < f"{cut:%Y-%m-%d}":
+                    files.delete(f"{self.path(name)}/{day}")
+            edge = f"date={cut:%Y-%m-%d}"
+            if edge in files.folders(self.path(name)):
+                rows = time_filter(self.read(name), cut, f"{cut:%Y-%m-%d} 23:59:59.999999").drop("date")
+                rows.withColumn("batch", F.lit("retained")).write.mode("overwrite").partitionBy("batch").parquet(f"{aside}/{edge}")
+                self._put(files, f"{aside}/{edge}", f"{self.path(name)}/{edge}")
+
+    @staticmethod
+    def _put(files: _Files, kept: str, edge: str) -> None:
+        """Moves a rewritten date into its place; one that was not written to its end is dropped."""
+        if files.exists(f"{kept}/_SUCCESS"):
+            files.delete(edge)
+            if any(x.startswith("batch=") for x in files.folders(kept)):
+                files.delete(f"{kept}/_SUCCESS")
+                files.rename(kept, edge)
+        files.delete(kept)
+
+
+class _Files:
+    """The few operations on whole folders that the DataFrame writer has not, on whatever file system a path names."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def folders(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(e.getPath().getName() for e in fs.listStatus(p) if e.isDirectory()) if fs.exists(p) else []
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
+    def rename(self, a: str, b: str) -> None:
+        fs, p = self._at(a)
+        fs.rename(p, self._at(b)[1])

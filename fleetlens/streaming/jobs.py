@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from fleetlens.operators.payload import flattened
 from fleetlens.operators.store import Store
 from fleetlens.sources import logs
 
@@ -25,29 +26,50 @@ RATES = T.StructType([T.StructField("host", T.StringType()), T.StructField("vmid
 
 
 def lines(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
-    """Lines of text files as they come: host (the folder below `folder`), path, seq and value."""
-    text = spark.readStream.option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").text(folder)
-    path = F.col("_metadata.file_path")
-    return text.select("value", path.alias("path"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("host"), (F.col("_metadata.file_modification_time").cast("double") * 1_000_000).cast("long").alias("seq"))
+    """Lines of text files as they come: host (the folder below `folder`), path, seq and value.
+
+    seq orders lines by their file's time and then by their number in it. A file is read as one value, so shippers
+    close files at a bounded size, of less than a million lines; maxFilesPerTrigger bounds what a batch drains.
+    """
+    text = spark.readStream.option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    path, millis = F.col("_metadata.file_path"), F.unix_millis(F.col("_metadata.file_modification_time"))
+    numbered = F.transform(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n"), lambda x, i: F.struct(i.alias("n"), x.alias("value")))
+    split = text.select(path.alias("path"), millis.alias("_t"), F.explode(numbered).alias("x"))
+    return split.select("x.value", "path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("host"), (F.col("_t") * 2**20 + F.col("x.n")).alias("seq"))
+
+
+def journal_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
+    return logs.journal(lines(spark, folder, per_trigger), F.current_timestamp())
 
 
-def journal_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return logs.journal(lines(spark, folder), F.current_timestamp())
+def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
+    return logs.file_lines(lines(spark, folder, per_trigger), F.current_timestamp())
 
 
-def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return logs.file_lines(lines(spark, folder), F.current_timestamp())
+def document_streams(spark: SparkSession, folder: str, schema: T.StructType, per_trigger: int = 1000) -> dict[str, DataFrame]:
+    """Rows of the six tables out of the documents that hosts drop, one in a line; each is a stream of its own."""
+    documents = lines(spark, folder, per_trigger).select(F.col("value").alias("document"))
+    return flattened(documents, schema)
 
 
-def append(rows: DataFrame, store: Store, table: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
-    """Appends each batch to a table; every=None works off what is there and stops."""
-    def write(batch: DataFrame, _: int) -> None:
-        store.append(table, batch)
+def append(rows: DataFrame, store: Store, table: str, checkpoint: str, every: str | None = "10 seconds", source: str = "stream") -> StreamingQuery:
+    """Appends each batch to a table; every=None works off what is there and stops.
 
-    out = rows.writeStream.queryName(f"append-{table}").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{table}")
+    A batch is named by source and its number: one that is run again after a failure replaces itself. Sources that
+    write to one table have names of their own.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        store.append(table, batch, f"{source}-{number}")
+
+    out = rows.writeStream.queryName(f"append-{source}-{table}").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{table}")
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+def append_all(tables: dict[str, DataFrame], store: Store, checkpoint: str, every: str | None = "10 seconds", source: str = "stream") -> dict[str, StreamingQuery]:
+    """One query for each table; one that fails leaves the others running."""
+    return {name: append(rows, store, name, checkpoint, every, source) for name, rows in tables.items()}
+
+
 class ContainerRates(StatefulProcessor):
     """cpu_pct of a container's usage counter against its last sample, which is the state; null for the first one."""
 

@@ -1,9 +1,12 @@
 """Streams worked off with availableNow give what the batch operators give."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from fleetlens.operators import derive
 from fleetlens.operators.store import Store
@@ -21,6 +24,35 @@ def test_journal_stream_fills_the_table(spark, tmp_path):
     assert sorted(r["message"] for r in rows) == [f"m{i}" for i in range(5)] and {r["host"] for r in rows} == {"host-1"}
 
 
+def test_lines_keep_their_order_and_batches_are_bounded(spark, tmp_path):
+    (tmp_path / "in" / "h").mkdir(parents=True)
+    for k in range(3):
+        (tmp_path / "in" / "h" / f"{k}.log").write_text("".join(f"{k}-{i}\n" for i in range(20)))
+        os.utime(tmp_path / "in" / "h" / f"{k}.log", (1_700_000_000 + k, 1_700_000_000 + k))
+    store = Store(spark, str(tmp_path / "store"))
+    store.create()
+    q = jobs.append(jobs.file_stream(spark, str(tmp_path / "in"), per_trigger=1), store, "logs", str(tmp_path / "ck"), every=None)
+    q.awaitTermination()
+    # one file in each batch: what exceeds the bound waits
+    assert len([p for p in (tmp_path / "store" / "logs").glob("*/batch=stream-*")]) == 3
+    rows = store.read("logs").orderBy("seq").collect()
+    assert [r["message"] for r in rows] == [f"{k}-{i}" for k in range(3) for i in range(20)] and len({r["seq"] for r in rows}) == 60
+
+
+def test_one_stream_fails_alone(spark, tmp_path):
+    (tmp_path / "in" / "h").mkdir(parents=True)
+    (tmp_path / "in" / "h" / "x.log").write_text("one\ntwo\n")
+    store = Store(spark, str(tmp_path / "store"))
+    store.create()
+    good = jobs.file_stream(spark, str(tmp_path / "in"))
+    bad = good.withColumn("mount_point", F.raise_error(F.lit("broken"))).withColumnRenamed("host", "host")
+    running = jobs.append_all({"disks": bad, "logs": good}, store, str(tmp_path / "ck"), every=None)
+    with pytest.raises(StreamingQueryException):
+        running["disks"].awaitTermination()
+    running["logs"].awaitTermination()
+    assert store.read("logs").count() == 2 and store.read("disks").count() == 0
+
+
 def test_file_stream(spark, tmp_path):
     (tmp_path / "in" / "h").mkdir(parents=True)
     (tmp_path / "in" / "h" / "x.log").write_text("one\ntwo\n")
