@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def read_samples(spark, path: str) -> DataFrame:
-    """cpu and rss_kb of lines '<cpu> <rss>'; blank and malformed lines are dropped."""
+def samples(lines: DataFrame) -> DataFrame:
+    """cpu and rss_kb of lines '<cpu> <rss>' in value, beside the other columns; blank and malformed lines are dropped."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).select(F.get(p, F.lit(0)).try_cast("double").alias("cpu"), F.get(p, F.lit(1)).try_cast("long").alias("rss_kb")).dropna()
+    return lines.select(*[c for c in lines.columns if c != "value"], F.get(p, F.lit(0)).try_cast("double").alias("cpu"), F.get(p, F.lit(1)).try_cast("long").alias("rss_kb")).dropna(subset=["cpu", "rss_kb"])
+
+
+def read_samples(spark, path: str) -> DataFrame:
+    return samples(spark.read.text(path))
 
 
 def stats(samples: DataFrame, by: str = "label") -> DataFrame:

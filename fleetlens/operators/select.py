@@ -37,11 +37,19 @@ def snapshot_at(df: DataFrame, t: datetime | str) -> DataFrame:
     return time_filter(df, t, t)
 
 
-def latest_snapshot(df: DataFrame) -> DataFrame:
-    """All rows with the newest timestamp of the table; with a date column, only the newest dates are looked at."""
-    if "date" in df.columns:
-        df = df.filter(F.col("date") == df.agg(F.max("date").alias("d")).scalar())
-    return df.filter(F.col("timestamp") == df.agg(F.max("timestamp").alias("t")).scalar())
+def latest_snapshot(df: DataFrame, keys: tuple[str, ...] = ("host",), time: str = "timestamp") -> DataFrame:
+    """All rows with the newest time of their host, so that a host that reported late or not at all lately is not lost.
+
+    The newest times are one row for each key, by a map-side combined aggregate, and Spark broadcasts them if they are
+    few; with a date column they prune the dates that are read. Without keys it is the newest time of the whole table.
+    """
+    dated = ["date"] if "date" in df.columns and time == "timestamp" else []
+    if not keys:
+        if dated:
+            df = df.filter(F.col("date") == df.agg(F.max("date").alias("d")).scalar())
+        return df.filter(F.col(time) == df.agg(F.max(time).alias("t")).scalar())
+    newest = df.groupBy(*keys).agg(F.max(time).alias(time), *[F.max(c).alias(c) for c in dated])
+    return df.join(newest, [*keys, time, *dated], "left_semi")
 
 
 def metrics_period(df: DataFrame, now: datetime | str, period: str = "1h") -> DataFrame:

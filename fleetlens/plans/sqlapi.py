@@ -9,8 +9,16 @@ def query(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = No
     """Runs one SELECT over the views; anything that is not a query by itself is a syntax error.
 
     The text stands inside a subquery, so inserts, DDL and several statements are refused, and so are SHOW, DESCRIBE
-    and EXPLAIN. The guard is one of syntax: a SELECT may still read other catalogs or files by path.
+    and EXPLAIN. The guard is one of syntax: a SELECT may still read other catalogs or files by path. Views of the
+    session that have the same names are there again afterwards.
     """
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT * FROM (\n{sql}\n)")
+    before = {name: spark.table(name) for name in views or {} if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary}
+    try:
+        for name, df in (views or {}).items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(f"SELECT * FROM (\n{sql}\n)")
+    finally:
+        for name in views or {}:
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.window import Window
 
 from fleetlens.functions import scalars
 from fleetlens.functions.timeutil import time_filter
@@ -15,6 +17,7 @@ from fleetlens.operators import select as sel
 from fleetlens.plans import sqlapi
 from fleetlens.sources import captures, export, inventory, logs, synth
 from fleetlens.sources.fixtures import duck, view
+from fleetlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +59,7 @@ def metrics_latest_by_host(spark, d):
     return sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq")
 
 
-@query(duck("fx_processes") + f" SELECT * FROM fx_processes WHERE timestamp = (SELECT max(timestamp) FROM fx_processes) ORDER BY {CPU_ORDER}")
+@query(duck("fx_processes") + f" SELECT * FROM fx_processes QUALIFY timestamp = max(timestamp) OVER (PARTITION BY host) ORDER BY {CPU_ORDER}")
 def processes_latest(spark, d):
     return sel.latest_snapshot(view(spark, d, "fx_processes")).orderBy(*sel.ordering(sel.BY_CPU))
 
@@ -66,7 +69,7 @@ def processes_at(spark, d):
     return sel.snapshot_at(view(spark, d, "fx_processes"), PROCESS_TIME).orderBy(*sel.ordering(sel.BY_CPU))
 
 
-@query(duck("fx_disks") + " SELECT * FROM fx_disks WHERE timestamp = (SELECT max(timestamp) FROM fx_disks)")
+@query(duck("fx_disks") + " SELECT * FROM fx_disks QUALIFY timestamp = max(timestamp) OVER (PARTITION BY host)")
 def disks_latest(spark, d):
     return sel.latest_snapshot(view(spark, d, "fx_disks")).orderBy(F.asc_nulls_last("mount_point"))
 
@@ -76,7 +79,9 @@ def disks_at(spark, d):
     return sel.snapshot_at(view(spark, d, "fx_disks"), DISK_TIME).orderBy(F.asc_nulls_last("mount_point"))
 
 
-TOP5 = f"SELECT *, row_number() OVER (PARTITION BY host ORDER BY {CPU_ORDER}) AS rank FROM fx_processes WHERE timestamp = (SELECT max(timestamp) FROM fx_processes) QUALIFY rank <= 5"
+NEWEST = "(SELECT * FROM fx_processes QUALIFY timestamp = max(timestamp) OVER (PARTITION BY host))"
+NEWEST_DISKS = "(SELECT * FROM fx_disks QUALIFY timestamp = max(timestamp) OVER (PARTITION BY host))"
+TOP5 = f"SELECT *, row_number() OVER (PARTITION BY host ORDER BY {CPU_ORDER}) AS rank FROM {NEWEST} QUALIFY rank <= 5"
 
 
 @query(duck("fx_processes") + f" SELECT timestamp, host, pid, name, cpu_percent, mem_rss, CAST(rank AS INT) AS rank FROM ({TOP5})")
@@ -87,7 +92,7 @@ def top_processes(spark, d):
 @query(
     duck("fx_metrics", "fx_processes", "fx_disks")
     + f""", m AS (SELECT * FROM fx_metrics QUALIFY row_number() OVER (PARTITION BY host ORDER BY timestamp DESC, seq DESC) = 1),
-t AS ({TOP5}), ds AS (SELECT host, count(*) AS n_disks, max(percent) AS fullest FROM fx_disks WHERE timestamp = (SELECT max(timestamp) FROM fx_disks) GROUP BY host)
+t AS ({TOP5}), ds AS (SELECT host, count(*) AS n_disks, max(percent) AS fullest FROM {NEWEST_DISKS} GROUP BY host)
 SELECT m.host, m.timestamp, TIMESTAMP '{NOW}' AS now, m.cpu_percent, coalesce(m.mem_percent, 0) AS mem_percent,
   CASE WHEN m.swap_total > 0 THEN 100.0::DOUBLE * m.swap_used / m.swap_total ELSE 0 END AS swap_percent,
   coalesce(ds.n_disks, 0) AS n_disks, ds.fullest,
@@ -123,7 +128,7 @@ def metrics_period(spark, d):
     return sel.metrics_period(view(spark, d, "fx_metrics"), NOW, "2d")
 
 
-@query(duck("fx_processes") + " SELECT * FROM fx_processes WHERE timestamp = (SELECT max(timestamp) FROM fx_processes) AND (contains(name, 'flag=3') OR contains(cmdline, 'flag=3'))")
+@query(duck("fx_processes") + f" SELECT * FROM {NEWEST} WHERE contains(name, 'flag=3') OR contains(cmdline, 'flag=3')")
 def processes_filter(spark, d):
     return sel.name_contains(sel.latest_snapshot(view(spark, d, "fx_processes")), "flag=3")
 
@@ -133,7 +138,7 @@ def _sorted(order: tuple):
 
 
 def _sorted_sql(order: str) -> str:
-    return duck("fx_processes") + f" SELECT host, pid, name, cpu_percent, mem_rss, CAST(row_number() OVER (PARTITION BY host ORDER BY {order}) AS INT) AS rank FROM fx_processes WHERE timestamp = (SELECT max(timestamp) FROM fx_processes) QUALIFY rank <= 1000"
+    return duck("fx_processes") + f" SELECT host, pid, name, cpu_percent, mem_rss, CAST(row_number() OVER (PARTITION BY host ORDER BY {order}) AS INT) AS rank FROM {NEWEST}"
 
 
 for _name, _order, _sql in (("cpu", sel.BY_CPU, CPU_ORDER), ("mem", sel.BY_MEM, "mem_rss DESC, cpu_percent DESC, pid, name, cmdline, uid"), ("name", sel.BY_NAME, "name, cpu_percent DESC, pid, mem_rss, cmdline, uid")):
@@ -163,11 +168,13 @@ def logs_since(spark, d):
     return sel.search_logs(view(spark, d, "fx_logs"), since=SINCE)
 
 
-FILE_LINES = f"SELECT TIMESTAMP '{NOW}' AS timestamp, lang AS host, doc_id AS seq, '/var/log/' || source AS source, NULL::VARCHAR AS unit, NULL::VARCHAR AS identifier, NULL::VARCHAR AS systemd_unit, CAST(6 AS INT) AS priority, text AS message, CAST(NULL AS INT) AS pid FROM documents"
+FILE_LINES = f"SELECT TIMESTAMP '{NOW}' AS timestamp, lang AS host, doc_id * 1048576 + line - 1 AS seq, '/var/log/' || source AS source, NULL::VARCHAR AS unit, NULL::VARCHAR AS identifier, NULL::VARCHAR AS systemd_unit, CAST(6 AS INT) AS priority, message, CAST(NULL AS INT) AS pid FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS message, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
 
 
 def _file_logs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("lang").alias("host"), F.col("doc_id").alias("seq"), F.concat(F.lit("/var/log/"), "source").alias("path"), F.col("text").alias("value"))
+    # each text is a file, each of its lines a record
+    docs = table(spark, d, "documents").select("lang", "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    docs = docs.select(F.col("lang").alias("host"), (F.col("doc_id") * 2**20 + F.col("line")).alias("seq"), F.concat(F.lit("/var/log/"), "source").alias("path"), "value")
     return logs.file_lines(docs, F.lit(NOW))
 
 
@@ -257,28 +264,50 @@ def self_cpu_delta(spark, d):
 # Joins
 
 
-@query(duck("fx_processes", "fx_passwd") + " SELECT p.host, p.pid, p.name, p.uid, p.mem_rss, coalesce(w.username, CAST(p.uid AS VARCHAR)) AS username FROM fx_processes p LEFT JOIN fx_passwd w USING (uid)")
+@query(duck("fx_processes", "fx_passwd") + " SELECT p.host, p.pid, p.name, p.uid, p.mem_rss, coalesce(w.username, CAST(p.uid AS VARCHAR)) AS username FROM fx_processes p LEFT JOIN fx_passwd w USING (host, uid)")
 def username_join(spark, d):
     return joins.with_usernames(view(spark, d, "fx_processes"), view(spark, d, "fx_passwd")).select("host", "pid", "name", "uid", "mem_rss", "username")
 
 
-@query(duck("fx_guests", "fx_counters") + " SELECT vmid, name, node, host, seq, usage_usec, mem_current, mem_max FROM fx_guests JOIN fx_counters USING (vmid) WHERE status = 'running' AND type <> 'storage'")
+@query(duck("fx_inventory", "fx_counters") + " SELECT vmid, name, node, host, seq, usage_usec, mem_current, mem_max FROM fx_inventory JOIN fx_counters USING (host, timestamp, vmid) WHERE status = 'running' AND type <> 'storage'")
 def container_join(spark, d):
-    guests = view(spark, d, "fx_guests").filter(F.col("type").isin("lxc", "qemu"))
+    guests = view(spark, d, "fx_inventory").filter(F.col("type").isin("lxc", "qemu"))
     return joins.guest_metrics(guests, view(spark, d, "fx_counters")).select("vmid", "name", "node", "host", "seq", "usage_usec", "mem_current", "mem_max")
 
 
 PSEUDO = "^(" + "|".join(captures.PSEUDO_FILESYSTEMS) + ")"
 
 
+_MOUNTS = f"""m AS (SELECT *, CAST(row_number() OVER (PARTITION BY host, timestamp ORDER BY line_no) - 1 AS INT) AS nth FROM fx_mounts),
+r AS (SELECT * FROM m WHERE NOT regexp_matches(fstype, '{PSEUDO}'))"""
+
+
+def _mount_captures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A mount table's text for each host and hour (at most twenty mounts), and the capacity of each of its lines."""
+    order = Window.partitionBy("host", "timestamp").orderBy("line_no")
+    rows = view(spark, d, "fx_mounts").withColumn("at", F.row_number().over(order) - 1)
+    line = F.concat_ws(" ", "device", "mount_point", "fstype", F.lit("rw,relatime 0 0"))
+    text = rows.groupBy("host", "timestamp").agg(F.sort_array(F.collect_list(F.struct("at", line.alias("t")))).alias("x"))
+    # blank and short lines at the end are no mounts
+    captured = text.select("host", "timestamp", F.concat(F.array_join(F.transform("x", lambda x: x["t"]), "\n"), F.lit("\n\nshort line\n")).alias("content"))
+    return captured, rows.select("host", "timestamp", F.col("at").alias("line_no"), "f_blocks", "f_bfree", "f_frsize")
+
+
+@query(duck("fx_mounts") + f", {_MOUNTS} SELECT host, timestamp, nth AS line_no, device, mount_point, fstype FROM m")
+def mounts_parse(spark, d):
+    return captures.mounts(_mount_captures(spark, d)[0])
+
+
 @query(
     duck("fx_mounts")
-    + f""", r AS (SELECT * FROM fx_mounts WHERE NOT regexp_matches(fstype, '{PSEUDO}'))
-SELECT device, mount_point, line_no, first_value(f_blocks) OVER (PARTITION BY device ORDER BY line_no) AS f_blocks, first_value(f_bfree) OVER (PARTITION BY device ORDER BY line_no) AS f_bfree
-FROM r QUALIFY row_number() OVER (PARTITION BY device ORDER BY length(mount_point), line_no) = 1"""
+    + f""", {_MOUNTS}, p AS (SELECT host, timestamp, device, mount_point, nth AS line_no, length(mount_point) AS size, first_value(f_blocks) OVER w AS blocks, first_value(f_bfree) OVER w AS free FROM r WINDOW w AS (PARTITION BY host, timestamp, device ORDER BY nth))
+SELECT host, timestamp, device, mount_point, line_no, blocks * 4096 AS total_bytes, greatest(blocks - free, 0) * 4096 AS used_bytes
+FROM p QUALIFY row_number() OVER (PARTITION BY host, timestamp, device ORDER BY size, line_no) = 1"""
 )
 def disks_dedup(spark, d):
-    return joins.distinct_disks(view(spark, d, "fx_mounts")).select("device", "mount_point", "line_no", "f_blocks", "f_bfree")
+    captured, capacity = _mount_captures(spark, d)
+    mounts = captures.mounts(captured).join(capacity, ["host", "timestamp", "line_no"])
+    return captures.disk_usage(joins.distinct_disks(mounts)).select("host", "timestamp", "device", "mount_point", "line_no", "total_bytes", "used_bytes")
 
 
 @query(duck("fx_mounts") + " SELECT line_no, f_blocks * f_frsize AS total_bytes, greatest(f_blocks * f_frsize - f_bfree * f_frsize, 0) AS used_bytes, greatest(f_blocks * f_frsize - f_bfree * f_frsize, 0)::DOUBLE * 100 / (f_blocks * f_frsize) AS percent FROM fx_mounts")
@@ -321,18 +350,18 @@ def parse_uid(spark, d):
     return view(spark, d, "fx_processes").select("host", "pid", captures.uid(text).alias("uid"), text.isNull().alias("unknown"))
 
 
-@query(duck("fx_passwd") + " SELECT 'host-' || CAST(uid % 16 AS VARCHAR) AS host, CAST(uid AS BIGINT) AS uid, username FROM fx_passwd")
+@query(duck("fx_passwd") + " SELECT host, uid, username FROM fx_passwd")
 def parse_passwd(spark, d):
     line = F.concat("username", F.lit(":x:"), F.col("uid").cast("string"), F.lit(":100::/home/u:/bin/sh"))
-    accounts = view(spark, d, "fx_passwd").groupBy(F.concat(F.lit("host-"), (F.col("uid") % 16).cast("string")).alias("host")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("t"))
-    # a second line of the same uid comes too late
+    accounts = view(spark, d, "fx_passwd").groupBy("host", F.expr("uid div 32").alias("part")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("t"))
+    # each capture has at most 32 accounts; a second line of the same uid comes too late
     return captures.passwd(accounts.select("host", F.concat("t", F.lit("\n\n"), F.regexp_replace("t", r"(?m)^[^:\n]+", "late")).alias("content")))
 
 
-@query(duck("fx_logs") + " SELECT timestamp, host, seq, source, unit, identifier, systemd_unit, CASE WHEN seq % 4 = 3 THEN 6 ELSE priority END AS priority, CASE WHEN seq % 9 = 0 THEN '' ELSE message END AS message, pid FROM fx_logs WHERE seq % 13 <> 0")
+@query(duck("fx_logs") + " SELECT timestamp, host, seq, source, unit, identifier, systemd_unit, CASE WHEN seq % 4 = 3 OR seq % 8 = 2 THEN 6 ELSE priority END AS priority, CASE WHEN seq % 9 = 0 THEN '' ELSE message END AS message, CASE WHEN seq % 7 <> 3 THEN pid END AS pid FROM fx_logs WHERE seq % 13 <> 0")
 def journal_parse(spark, d):
     micros = F.concat(F.unix_seconds(F.col("timestamp").cast("timestamp")).cast("string"), F.lit("654321"))
-    fields = F.struct(micros.alias("__REALTIME_TIMESTAMP"), F.col("identifier").alias("SYSLOG_IDENTIFIER"), F.col("systemd_unit").alias("_SYSTEMD_UNIT"), F.when(F.col("seq") % 4 == 3, "high").otherwise(F.col("priority").cast("string")).alias("PRIORITY"), F.when(F.col("seq") % 9 != 0, F.col("message")).alias("MESSAGE"), F.col("pid").cast("string").alias("_PID"))
+    fields = F.struct(micros.alias("__REALTIME_TIMESTAMP"), F.col("identifier").alias("SYSLOG_IDENTIFIER"), F.col("systemd_unit").alias("_SYSTEMD_UNIT"), F.when(F.col("seq") % 4 == 3, "high").when(F.col("seq") % 8 == 2, "300").otherwise(F.col("priority").cast("string")).alias("PRIORITY"), F.when(F.col("seq") % 9 != 0, F.col("message")).alias("MESSAGE"), F.when(F.col("seq") % 7 == 3, "-5").otherwise(F.col("pid").cast("string")).alias("_PID"))
     bad = F.when(F.col("seq") % 39 == 0, '{"MESSAGE":[104,105]}').when(F.col("seq") % 39 == 13, "{broken").otherwise("[1]")
     lines = view(spark, d, "fx_logs").select("host", "seq", F.when(F.col("seq") % 13 == 0, bad).otherwise(F.to_json(fields)).alias("value"))
     return logs.journal(lines, F.lit(NOW))
@@ -345,8 +374,8 @@ def inventory_parse(spark, d):
     # a vmid that is text, not a number, is skipped
     vmid = F.when(F.col("vmid") % 17 == 0, F.concat(F.lit('"'), F.col("vmid").cast("string"), F.lit('"'))).otherwise(F.concat(F.col("vmid").cast("string"), F.when(F.col("vmid") % 2 == 0, ".0").otherwise("")))
     text = F.concat(F.lit('{"vmid":'), vmid, F.lit(","), F.substr(F.to_json(item), F.lit(2)))
-    docs = g.groupBy(F.col("node").alias("of")).agg(F.concat(F.lit("[1, "), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("content"))
-    return inventory.guests(docs).drop("of")
+    docs = g.groupBy(F.col("node").alias("of"), F.expr("vmid div 500").alias("part")).agg(F.concat(F.lit("[1, "), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("content"))
+    return inventory.guests(docs).drop("of", "part")
 
 
 @query(duck("fx_counters") + " SELECT host, timestamp, seq AS vmid, usage_usec, mem_current, mem_max FROM fx_counters WHERE seq % 19 <> 0 AND seq % 23 <> 0")
@@ -373,6 +402,13 @@ def runtime_classify(spark, d):
     return table(spark, d, "customer").select("c_custkey", r.alias("r")).select("c_custkey", "r.kind", "r.node", "r.version")
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' WHEN c_custkey % 3 = 0 THEN left(repeat(c_name, 30), 256) ELSE c_name END AS hostname FROM customer")
+def hostname_parse(spark, d):
+    k = F.col("c_custkey")
+    text = F.when(k % 10 == 0, None).when(k % 5 == 0, " \n").when(k % 3 == 0, F.repeat("c_name", F.lit(30))).otherwise(F.concat(F.lit(" "), "c_name", F.lit("\n")))
+    return table(spark, d, "customer").select("c_custkey", captures.hostname(text).alias("hostname"))
+
+
 @query(duck("fx_processes") + " SELECT host, pid, uid * 3 + threads * 7 AS jiffies, mem_rss AS rss_bytes, mem_rss * 2 AS vm_bytes, CAST(threads AS BIGINT) AS threads, uid AS voluntary, CAST(0 AS BIGINT) AS involuntary FROM fx_processes")
 def self_parse(spark, d):
     zeros = " ".join(["0"] * 10)
@@ -400,12 +436,13 @@ def parse_priority(spark, d):
 _STEPS = [(1024**k, u) for k, u in enumerate(scalars.BYTE_UNITS)][:0:-1]
 
 
-@query(duck("fx_processes") + f" SELECT host, pid, mem_rss, CASE {' '.join(f'''WHEN mem_rss >= {s} THEN '{u}' ''' for s, u in _STEPS)} ELSE 'B' END AS unit, CASE {' '.join(f'WHEN mem_rss >= {s} THEN mem_rss / {s}::DOUBLE' for s, _ in _STEPS)} ELSE mem_rss::DOUBLE END AS value, TRUE AS agrees FROM fx_processes")
+# the nearest tenth, ties up
+_TENTHS = " ".join(f"WHEN mem_rss >= {s} THEN CAST(floor(mem_rss / {s}::DOUBLE * 10 + 0.5) AS BIGINT) // 10 || '.' || CAST(floor(mem_rss / {s}::DOUBLE * 10 + 0.5) AS BIGINT) % 10 || '{u}'" for s, u in _STEPS)
+
+
+@query(duck("fx_processes") + f" SELECT host, pid, mem_rss, CASE {_TENTHS} ELSE mem_rss || 'B' END AS size FROM fx_processes")
 def format_bytes(spark, d):
-    # the text's one decimal rounds ties otherwise than DuckDB: number and unit are compared, the text with the number
-    size = F.col("mem_rss")
-    agrees = F.abs(F.regexp_extract(scalars.human_bytes(size), r"^([0-9.]+)", 1).cast("double") - scalars.byte_value(size)) <= 0.0500001
-    return view(spark, d, "fx_processes").select("host", "pid", "mem_rss", scalars.byte_unit(size).alias("unit"), scalars.byte_value(size).alias("value"), agrees.alias("agrees"))
+    return view(spark, d, "fx_processes").select("host", "pid", "mem_rss", scalars.human_bytes(F.col("mem_rss")).alias("size"))
 
 
 @query(duck("fx_metrics") + " SELECT seq, rpad(repeat('#', CAST(floor(least(cpu_percent / 100.0 * 20, 20.0)) AS INT)), 20, '-') AS bar FROM fx_metrics")
@@ -441,33 +478,58 @@ def payload_top_processes(spark, d):
     return payload.top_processes(view(spark, d, "fx_processes")).select("host", "pid", "name", "cpu_percent", "mem_rss", "rank")
 
 
-@query(duck("fx_logs") + " SELECT host, seq, priority, message, CAST(row_number() OVER (PARTITION BY host ORDER BY CASE WHEN priority <= 4 THEN 0 ELSE 1 END, seq DESC) AS INT) AS rank FROM fx_logs QUALIFY rank <= 20")
+BATCH = "CAST(date_trunc('day', timestamp) AS TIMESTAMP)"
+NEWEST_LOGS = f"(SELECT * FROM fx_logs QUALIFY {BATCH} = max({BATCH}) OVER (PARTITION BY host))"
+
+
+def _batched_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Logs with the cycle that they belong to: here a day."""
+    return view(spark, d, "fx_logs").withColumn("batch", F.date_trunc("day", "timestamp").cast("timestamp_ntz"))
+
+
+@query(duck("fx_logs") + f" SELECT host, {BATCH} AS batch, seq, priority, message, CAST(row_number() OVER (PARTITION BY host, {BATCH} ORDER BY CASE WHEN priority <= 4 THEN 0 ELSE 1 END, seq DESC) AS INT) AS rank FROM fx_logs QUALIFY rank <= 20")
 def payload_logs(spark, d):
-    return payload.selected_logs(view(spark, d, "fx_logs")).select("host", "seq", "priority", "message", "rank")
+    return payload.selected_logs(_batched_logs(spark, d)).select("host", "batch", "seq", "priority", "message", "rank")
 
 
-@query(duck("fx_logs") + " SELECT host, count(*) AS seen, least(count(*), 20) AS uploaded, count(*) - least(count(*), 20) AS dropped FROM fx_logs GROUP BY host")
+@query(duck("fx_logs") + f" SELECT host, {BATCH} AS batch, count(*) AS seen, least(count(*), 20) AS uploaded, count(*) - least(count(*), 20) AS dropped FROM fx_logs GROUP BY ALL")
 def payload_log_stats(spark, d):
-    return payload.log_stats(view(spark, d, "fx_logs"))
+    return payload.log_stats(_batched_logs(spark, d))
 
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:
     guests = view(spark, d, "fx_guests").filter(F.col("type").isin("lxc", "qemu")).withColumn("host", F.concat(F.lit("host-"), (F.col("vmid") % 16).cast("string")))
-    rates = derive.container_rates(view(spark, d, "fx_counters"))
-    last = sel.top_per_host(rates, 1, F.desc("timestamp"), F.desc("seq"), keys=("host", "vmid")).select("host", "vmid", "cpu_pct", "mem_current", "mem_max")
-    return payload.nested(sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq"), sel.latest_snapshot(view(spark, d, "fx_processes")), sel.latest_snapshot(view(spark, d, "fx_disks")), view(spark, d, "fx_logs"), guests.select("host", "vmid", "name", "node", "type", "status", "maxmem", "maxcpu", "uptime"), last)
+    # a rate takes a container's last two samples
+    two = sel.top_per_host(view(spark, d, "fx_counters"), 2, F.desc("timestamp"), F.desc("seq"), keys=("host", "vmid"))
+    last = derive.container_rates(two).filter("rank = 1").select("host", "vmid", "cpu_pct", "mem_current", "mem_max")
+    hosts = view(spark, d, "fx_metrics").groupBy("host").agg(F.count("*").alias("n"))
+    kind = captures.runtime(F.when(F.col("n") % 3 == 0, F.concat(F.lit("0::/lxc/"), F.col("n").cast("string"), F.lit("/ns"))), F.col("n") % 3 == 1, F.col("host"), F.lit("v8 \nmore"))
+    runtime = hosts.select("host", kind.alias("r")).select("host", "r.*")
+    own = sel.latest_by_host(view(spark, d, "fx_counters"), "timestamp", "seq")
+    agent = own.select("host", F.col("c_system").alias("rss_kb"), (F.col("c_system") * 2).alias("vsize_kb"), F.lit(4).alias("threads"), F.col("c_user").alias("voluntary_ctxt_switches"), F.col("c_iowait").alias("nonvoluntary_ctxt_switches"), F.col("c_idle").alias("uptime_seconds"), F.lit(0).alias("consecutive_insert_failures"), F.col("mem_current").alias("db_size_bytes"))
+    rates = derive.self_rates(sel.top_per_host(view(spark, d, "fx_counters").withColumnRenamed("c_system", "jiffies"), 2, F.desc("timestamp"), F.desc("seq"))).filter("rank = 1").select("host", "cpu_percent")
+    return payload.nested(
+        sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq"),
+        sel.latest_snapshot(view(spark, d, "fx_processes")),
+        sel.latest_snapshot(view(spark, d, "fx_disks")),
+        _batched_logs(spark, d),
+        guests.select("host", "vmid", "name", "node", "type", "status", "maxmem", "maxcpu", "uptime"),
+        last,
+        runtime,
+        rates.join(agent, "host"),
+    )
 
 
 @query(
     duck("fx_metrics", "fx_processes", "fx_disks", "fx_logs", "fx_guests", "fx_counters")
-    + """, m AS (SELECT * FROM fx_metrics QUALIFY row_number() OVER (PARTITION BY host ORDER BY timestamp DESC, seq DESC) = 1)
+    + f""", m AS (SELECT * FROM fx_metrics QUALIFY row_number() OVER (PARTITION BY host ORDER BY timestamp DESC, seq DESC) = 1), pr AS {NEWEST}, di AS {NEWEST_DISKS}, lo AS {NEWEST_LOGS}
 SELECT m.host, m.timestamp, m.cpu_percent,
- (SELECT least(count(*), 25) FROM fx_processes x WHERE x.host = m.host AND timestamp = (SELECT max(timestamp) FROM fx_processes)) AS n_processes,
- (SELECT count(*) FROM fx_disks x WHERE x.host = m.host AND timestamp = (SELECT max(timestamp) FROM fx_disks)) AS n_disks,
- (SELECT least(count(*), 20) FROM fx_logs x WHERE x.host = m.host) AS n_logs,
+ (SELECT least(count(*), 25) FROM pr x WHERE x.host = m.host) AS n_processes,
+ (SELECT count(*) FROM di x WHERE x.host = m.host) AS n_disks,
+ (SELECT least(count(*), 20) FROM lo x WHERE x.host = m.host) AS n_logs,
  (SELECT count(*) FROM fx_guests x WHERE 'host-' || CAST(x.vmid % 16 AS VARCHAR) = m.host AND type <> 'storage') AS n_containers,
  (SELECT count(DISTINCT vmid) FROM fx_counters x WHERE x.host = m.host) AS n_container_metrics,
- (SELECT count(*) FROM fx_logs x WHERE x.host = m.host) AS seen
+ (SELECT nullif(count(*), 0) FROM lo x WHERE x.host = m.host) AS seen
 FROM m"""
 )
 def payload_nested(spark, d):
@@ -475,10 +537,47 @@ def payload_nested(spark, d):
     return _payload(spark, d).select("host", "metrics.timestamp", "metrics.cpu_percent", *sizes, F.col("log_stats.seen").alias("seen"))
 
 
-@query(duck("fx_logs") + " SELECT host, seq, priority, message, pid FROM fx_logs QUALIFY row_number() OVER (PARTITION BY host ORDER BY CASE WHEN priority <= 4 THEN 0 ELSE 1 END, seq DESC) <= 20")
-def payload_flatten(spark, d):
-    doc = _payload(spark, d)
-    return payload.from_document(payload.to_document(doc), doc.schema, "logs").select("host", "seq", "priority", "message", "pid")
+LAST_METRICS = "(SELECT * FROM fx_metrics QUALIFY row_number() OVER (PARTITION BY host ORDER BY timestamp DESC, seq DESC) = 1)"
+
+
+@query(
+    duck("fx_metrics")
+    + """, h AS (SELECT host, count(*) AS n FROM fx_metrics GROUP BY host)
+SELECT host, CASE n % 3 WHEN 0 THEN 'container' WHEN 1 THEN 'host' ELSE 'none' END AS kind, CASE WHEN n % 3 = 1 THEN host END AS node, CASE WHEN n % 3 = 1 THEN 'v8' END AS version, CASE WHEN n % 3 = 0 THEN CAST(n AS INT) END AS vmid FROM h"""
+)
+def payload_runtime(spark, d):
+    return _payload(spark, d).select("host", "runtime.*")
+
+
+@query(
+    duck("fx_counters")
+    + """, g AS (SELECT *, greatest(c_system - lag(c_system) OVER w, 0) AS grown, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1000000.0::DOUBLE AS s, row_number() OVER (PARTITION BY host ORDER BY timestamp DESC, seq DESC) AS back FROM fx_counters WINDOW w AS (PARTITION BY host ORDER BY timestamp, seq))
+SELECT host, CASE WHEN s > 0 THEN grown / 100.0::DOUBLE / s * 100.0::DOUBLE ELSE 0 END AS cpu_percent, c_system AS rss_kb, c_system * 2 AS vsize_kb, CAST(4 AS INT) AS threads, c_user AS voluntary_ctxt_switches, c_iowait AS nonvoluntary_ctxt_switches, c_idle AS uptime_seconds, CAST(0 AS INT) AS consecutive_insert_failures, mem_current AS db_size_bytes FROM g WHERE back = 1"""
+)
+def payload_agent(spark, d):
+    return _payload(spark, d).select("host", "agent.*")
+
+
+def _flat(part: str, *columns: str):
+    def run(spark, d):
+        doc = _payload(spark, d)
+        return payload.flattened(payload.to_document(doc), doc.schema)[part].select(*columns)
+
+    return run
+
+
+_AT = f"JOIN {LAST_METRICS} m USING (host)"
+for _part, _columns, _sql in (
+    ("metrics", ("host", "timestamp", "cpu_percent", "mem_total", "mem_used", "mem_percent", "swap_total", "swap_used"), f"SELECT host, timestamp, cpu_percent, mem_total, mem_used, mem_percent, swap_total, swap_used FROM {LAST_METRICS}"),
+    ("processes", ("host", "timestamp", "pid", "name", "cpu_percent", "mem_rss", "threads"), f"SELECT host, m.timestamp, pid, name, x.cpu_percent, mem_rss, threads FROM (SELECT * FROM {NEWEST} QUALIFY row_number() OVER (PARTITION BY host ORDER BY {CPU_ORDER}) <= 25) x {_AT}"),
+    ("disks", ("host", "timestamp", "mount_point", "total_bytes", "used_bytes", "percent"), f"SELECT host, m.timestamp, mount_point, total_bytes, used_bytes, percent FROM {NEWEST_DISKS} x {_AT}"),
+    ("logs", ("host", "timestamp", "seq", "unit", "priority", "message", "pid"), f"SELECT host, x.timestamp, x.seq, unit, priority, message, pid FROM (SELECT * FROM {NEWEST_LOGS} QUALIFY row_number() OVER (PARTITION BY host ORDER BY CASE WHEN priority <= 4 THEN 0 ELSE 1 END, seq DESC) <= 20) x {_AT}"),
+    ("containers", ("host", "timestamp", "vmid", "name", "node", "type", "status", "maxmem", "maxcpu", "uptime"), f"SELECT host, m.timestamp, vmid, name, node, type, status, maxmem, maxcpu, uptime FROM (SELECT *, 'host-' || CAST(vmid % 16 AS VARCHAR) AS host FROM fx_guests WHERE type <> 'storage') x {_AT}"),
+    ("container_metrics", ("host", "timestamp", "vmid", "cpu_pct", "mem_current", "mem_max"), f"SELECT host, m.timestamp, vmid, CASE WHEN s > 0 THEN grown / (s * 1000000.0::DOUBLE) * 100.0::DOUBLE END AS cpu_pct, mem_current, mem_max FROM (SELECT *, greatest(usage_usec - lag(usage_usec) OVER w, 0) AS grown, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 1000000.0::DOUBLE AS s, row_number() OVER (PARTITION BY host, vmid ORDER BY timestamp DESC, seq DESC) AS back FROM fx_counters WINDOW w AS (PARTITION BY host, vmid ORDER BY timestamp, seq)) x {_AT} WHERE back = 1"),
+):
+    _key = "payload_flatten" if _part == "logs" else f"payload_flatten_{_part}"
+    QUERIES[_key] = _flat(_part, *_columns)
+    ORACLES[_key] = duck("fx_metrics", "fx_processes", "fx_disks", "fx_logs", "fx_guests", "fx_counters") + " " + _sql
 
 
 # Store
@@ -497,32 +596,166 @@ def table_counts(spark, d):
     return store.table_counts({k: view(spark, d, v) for k, v in _COUNTED.items()})
 
 
+def _filled(spark: SparkSession, d: str) -> store.Store:
+    """A new store with the views' rows in its six tables, in two appends each; the first half again, as after a failure."""
+    made = store.Store(spark, store.scratch(spark, "store"))
+    made.create()
+    for name, source in _COUNTED.items():
+        rows = view(spark, d, source)
+        if "timestamp" not in rows.columns:
+            rows = rows.withColumns({"timestamp": F.lit(NOW).cast("timestamp_ntz"), "host": F.concat(F.lit("host-"), (F.col("vmid") % 16).cast("string"))})
+        key = {"metrics": "seq", "processes": "pid", "disks": "used_bytes", "logs": "seq", "containers": "vmid", "container_metrics": "vmid"}[name]
+        half = F.pmod(F.xxhash64(key), F.lit(2))
+        for part in (0, 1, 0):
+            made.append(name, rows.filter(half == part), f"part-{part}")
+    return made
+
+
+_STORED = {
+    "metrics": ("mem_used", "fx_metrics"),
+    "processes": ("mem_rss", "fx_processes"),
+    "disks": ("used_bytes", "fx_disks"),
+    "logs": ("coalesce(pid, 0) + priority", "fx_logs"),
+    "containers": ("maxmem", f"(SELECT *, TIMESTAMP '{NOW}' AS timestamp, 'host-' || CAST(vmid % 16 AS VARCHAR) AS host FROM fx_guests)"),
+    "container_metrics": ("mem_current", "fx_counters"),
+}
+
+
+def _summed(made: store.Store) -> DataFrame:
+    out = [made.read(name).selectExpr(f"'{name}' AS table_name", "count(*) AS rows", "count(DISTINCT host) AS hosts", "count(DISTINCT date) AS days", f"coalesce(sum({x}), 0) AS total") for name, (x, _) in _STORED.items()]
+    return reduce(DataFrame.unionAll, out)
+
+
+def _summed_sql(where: str = "TRUE") -> str:
+    return duck(*_COUNTED.values()) + " " + " UNION ALL ".join(f"SELECT '{k}' AS table_name, count(*) AS rows, count(DISTINCT host) AS hosts, count(DISTINCT CAST(timestamp AS DATE)) AS days, CAST(coalesce(sum({x}), 0) AS BIGINT) AS total FROM {v} WHERE {where}" for k, (x, v) in _STORED.items())
+
+
+@query(_summed_sql())
+def store_append(spark, d):
+    return _summed(_filled(spark, d))
+
+
+@query(_summed_sql(f"timestamp >= TIMESTAMP '{SINCE}'"))
+def store_retain(spark, d):
+    made = _filled(spark, d)
+    made.retain(datetime.fromisoformat(NOW), datetime.fromisoformat(NOW) - datetime.fromisoformat(SINCE))
+    return _summed(made)
+
+
+@query(duck("fx_logs") + " SELECT count(*) AS rows, count(CASE WHEN seq % 2 = 0 THEN identifier END) AS identifiers, count(CASE WHEN seq % 2 = 0 THEN systemd_unit END) AS units FROM fx_logs")
+def store_evolve(spark, d):
+    made = store.Store(spark, store.scratch(spark, "evolve"))
+    rows = view(spark, d, "fx_logs")
+    # files from before two columns were added
+    old = rows.filter("seq % 2 <> 0").drop("identifier", "systemd_unit").withColumns({"date": F.to_date("timestamp"), "batch": F.lit("old")})
+    old.write.partitionBy("date", "batch").parquet(made.path("logs"))
+    made.append("logs", rows.filter("seq % 2 = 0"))
+    return made.read("logs").agg(F.count("*").alias("rows"), F.count("identifier").alias("identifiers"), F.count("systemd_unit").alias("units"))
+
+
+# Streams: worked off to their end
+
+
+@query(duck("fx_logs") + " SELECT host, count(*) AS rows, count(DISTINCT seq) AS numbers, CAST(sum(priority) AS BIGINT) AS priorities, count(pid) AS pids FROM fx_logs GROUP BY host")
+def stream_journal(spark, d):
+    base = store.scratch(spark, "journal")
+    fields = F.struct(F.col("identifier").alias("SYSLOG_IDENTIFIER"), F.col("systemd_unit").alias("_SYSTEMD_UNIT"), F.col("priority").cast("string").alias("PRIORITY"), F.col("message").alias("MESSAGE"), F.col("pid").cast("string").alias("_PID"))
+    view(spark, d, "fx_logs").select(F.to_json(fields).alias("value"), "host").repartition("host").write.partitionBy("host").text(f"{base}/in")
+    made = store.Store(spark, f"{base}/store")
+    made.create()
+    jobs.append(jobs.journal_stream(spark, f"{base}/in"), made, "logs", f"{base}/checkpoint", every=None).awaitTermination()
+    host = F.regexp_replace("host", "^host=", "")
+    return made.read("logs").groupBy(host.alias("host")).agg(F.count("*").alias("rows"), F.countDistinct("seq").alias("numbers"), F.sum("priority").alias("priorities"), F.count("pid").alias("pids"))
+
+
+_DOCUMENT_PARTS = {"metrics": LAST_METRICS, "processes": f"(SELECT * FROM {NEWEST} QUALIFY row_number() OVER (PARTITION BY host ORDER BY {CPU_ORDER}) <= 25)", "disks": NEWEST_DISKS, "logs": f"(SELECT * FROM {NEWEST_LOGS} QUALIFY row_number() OVER (PARTITION BY host ORDER BY CASE WHEN priority <= 4 THEN 0 ELSE 1 END, seq DESC) <= 20)", "containers": "(SELECT *, 'host-' || CAST(vmid % 16 AS VARCHAR) AS host FROM fx_guests WHERE type <> 'storage')", "container_metrics": "(SELECT DISTINCT host, vmid FROM fx_counters)"}
+
+
+@query(duck("fx_metrics", "fx_processes", "fx_disks", "fx_logs", "fx_guests", "fx_counters") + " " + " UNION ALL ".join(f"SELECT '{k}' AS table_name, count(*) AS rows FROM {v} x WHERE host IN (SELECT host FROM fx_metrics)" for k, v in _DOCUMENT_PARTS.items()))
+def stream_documents(spark, d):
+    """Every host's document is dropped as a file, and six streams bring them into the six tables."""
+    base = store.scratch(spark, "documents")
+    doc = _payload(spark, d)
+    payload.to_document(doc).select(F.col("document").alias("value"), "host").write.partitionBy("host").text(f"{base}/in")
+    made = store.Store(spark, f"{base}/store")
+    made.create()
+    for q in jobs.append_all(jobs.document_streams(spark, f"{base}/in", doc.schema), made, f"{base}/checkpoint", every=None).values():
+        q.awaitTermination()
+    return store.table_counts({name: made.read(name) for name in _DOCUMENT_PARTS})
+
+
+# Exports of the other listings
+
+
+@query(duck("fx_metrics") + """ SELECT seq, '{"host":"' || host || '","seq":' || seq || ',"mem_total":' || mem_total || ',"mem_used":' || mem_used || ',"swap_total":' || swap_total || '}' AS line FROM fx_metrics""")
+def metrics_export_json(spark, d):
+    return view(spark, d, "fx_metrics").select("seq", export.json_line(["host", "seq", "mem_total", "mem_used", "swap_total"]).alias("line"))
+
+
+@query(duck("fx_metrics") + " SELECT seq, " + " || ',' || ".join(map(_CELL, ("host", "seq", "mem_total", "mem_used", "swap_total"))) + " AS line FROM fx_metrics")
+def metrics_export_csv(spark, d):
+    return view(spark, d, "fx_metrics").select("seq", export.csv_line(["host", "seq", "mem_total", "mem_used", "swap_total"]).alias("line"))
+
+
+@query(duck("fx_processes") + f""" SELECT host, pid, '{{"pid":' || pid || ',"name":"' || name || '","cmdline":"' || replace(cmdline, '/', '/') || '","state":"' || state || '","mem_rss":' || mem_rss || ',"threads":' || threads || '}}' AS line FROM {NEWEST}""")
+def processes_export_json(spark, d):
+    return sel.latest_snapshot(view(spark, d, "fx_processes")).select("host", "pid", export.json_line(["pid", "name", "cmdline", "state", "mem_rss", "threads"]).alias("line"))
+
+
+@query(duck("fx_processes") + f" SELECT host, pid, " + " || ',' || ".join(map(_CELL, ("pid", "name", "cmdline", "state", "mem_rss", "threads"))) + f" AS line FROM {NEWEST}")
+def processes_export_csv(spark, d):
+    return sel.latest_snapshot(view(spark, d, "fx_processes")).select("host", "pid", export.csv_line(["pid", "name", "cmdline", "state", "mem_rss", "threads"]).alias("line"))
+
+
+@query(duck("fx_metrics") + f" SELECT host, " + " || ',' || ".join(map(_CELL, ("host", "mem_total", "mem_used", "swap_total", "swap_used"))) + f" AS line FROM {LAST_METRICS}")
+def status_export_csv(spark, d):
+    return sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq").select("host", export.csv_line(["host", "mem_total", "mem_used", "swap_total", "swap_used"]).alias("line"))
+
+
+@query(
+    duck("fx_metrics", "fx_disks")
+    + f""" SELECT host, '{{"host":"' || host || '","mem_total":' || mem_total || ',"mem_used":' || mem_used || ',"disks":[' || coalesce((SELECT string_agg('{{"mount_point":"' || mount_point || '","used_bytes":' || used_bytes || '}}', ',' ORDER BY mount_point) FROM {NEWEST_DISKS} x WHERE x.host = m.host), '') || ']}}' AS line FROM {LAST_METRICS} m"""
+)
+def status_export_json(spark, d):
+    doc = payload.status(sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq"), sel.latest_snapshot(view(spark, d, "fx_disks")), sel.latest_snapshot(view(spark, d, "fx_processes")), NOW)
+    disks = F.transform("disks", lambda x: F.struct(x["mount_point"].alias("mount_point"), x["used_bytes"].alias("used_bytes")))
+    return doc.withColumn("disks", F.coalesce(disks, F.array().cast("array<struct<mount_point:string,used_bytes:bigint>>"))).select("host", export.json_line(["host", "mem_total", "mem_used", "disks"]).alias("line"))
+
+
 # Generated fleets: each supplier is a host
 
-_AT = "TIMESTAMP '2026-04-25 00:00:00' + INTERVAL 1 SECOND * (sample * 10)"
+_TICK = "TIMESTAMP '2026-04-25 00:00:00' + INTERVAL 1 SECOND * (sample * 10)"
 
 
 def _hosts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_name").alias("host"))
 
 
-@query(f"SELECT s_name AS host, {_AT} AS timestamp, CAST(20.0 + sample % 10 AS DOUBLE) AS cpu_percent, 16000000000 AS mem_total, 1500000000 + sample % 100000000 AS mem_used, CAST(10.0 AS DOUBLE) AS mem_percent FROM supplier CROSS JOIN range(0, 360) t(sample)")
+@query(f"SELECT s_name AS host, {_TICK} AS timestamp, CAST(20.0 + sample % 10 AS DOUBLE) AS cpu_percent, 16000000000 AS mem_total, 1500000000 + sample % 100000000 AS mem_used, CAST(10.0 AS DOUBLE) AS mem_percent, CAST(10.0 AS DOUBLE) AS cpu_user, CAST(5.0 AS DOUBLE) AS cpu_system, CAST(0.5 AS DOUBLE) AS cpu_iowait, CAST(0 AS BIGINT) AS swap_total, CAST(0 AS BIGINT) AS swap_used FROM supplier CROSS JOIN range(0, 360) t(sample)")
 def synth_metrics(spark, d):
     return synth.metrics(_hosts(spark, d), 360)
 
 
-@query(f"SELECT s_name AS host, {_AT} AS timestamp, 100 + p AS pid, 'process-' || (p % 50) AS name, '/usr/bin/process-' || (p % 50) || ' --flag=' || sample AS cmdline, 'S' AS state, CAST(p % 100 AS DOUBLE) AS cpu_percent, 100000000 + p * 1000 AS mem_rss, 4 + p % 8 AS threads, CASE WHEN p % 5 = 0 THEN 'root' ELSE 'user' END AS username FROM supplier CROSS JOIN range(0, 20) t(sample) CROSS JOIN range(0, 40) u(p)")
+@query(f"SELECT s_name AS host, {_TICK} AS timestamp, 100 + p AS pid, 'process-' || (p % 50) AS name, '/usr/bin/process-' || (p % 50) || ' --flag=' || sample AS cmdline, 'S' AS state, CAST(p % 100 AS DOUBLE) AS cpu_percent, 100000000 + p * 1000 AS mem_rss, 4 + p % 8 AS threads, CASE WHEN p % 5 = 0 THEN 'root' ELSE 'user' END AS username FROM supplier CROSS JOIN range(0, 20) t(sample) CROSS JOIN range(0, 40) u(p)")
 def synth_processes(spark, d):
     return synth.processes(_hosts(spark, d), 20, 40)
 
 
-@query(f"SELECT s_name AS host, {_AT} AS timestamp, '/mount-' || k AS mount_point, 'ext4' AS filesystem, 100000000000 AS total_bytes, 50000000000 + sample * 1000 AS used_bytes, CAST(50.0 + sample % 30 AS DOUBLE) AS percent FROM supplier CROSS JOIN range(0, 100) t(sample) CROSS JOIN range(0, 5) u(k)")
+@query(f"SELECT s_name AS host, {_TICK} AS timestamp, '/mount-' || k AS mount_point, 'ext4' AS filesystem, 100000000000 AS total_bytes, 50000000000 + sample * 1000 AS used_bytes, CAST(50.0 + sample % 30 AS DOUBLE) AS percent FROM supplier CROSS JOIN range(0, 100) t(sample) CROSS JOIN range(0, 5) u(k)")
 def synth_disks(spark, d):
     return synth.disks(_hosts(spark, d), 100)
 
 
 # Bench statistics over events as samples
 
+
+@query("SELECT event_id, CAST(event_id % 40 / 4.0::DOUBLE AS DOUBLE) AS cpu, event_id * 3 AS rss_kb FROM events WHERE event_id % 11 <> 0")
+def samples_parse(spark, d):
+    k = F.col("event_id")
+    text = F.when(k % 22 == 0, "").when(k % 11 == 0, "no sample").otherwise(F.concat(F.lit(" "), (k % 40 / 4.0).cast("string"), F.lit("  "), (k * 3).cast("string")))
+    return benchstats.samples(table(spark, d, "events").select("event_id", text.alias("value")))
+
+
 _SAMPLES = "SELECT event_type AS label, floor(value) AS cpu, event_id AS rss_kb FROM events"
 _STATS = f"""SELECT label, count(*) AS n, avg(cpu) AS mean, list_sort(list(cpu))[CAST(count(*) // 2 AS INT) + 1] AS p50, list_sort(list(cpu))[CAST(floor(count(*) * 0.99::DOUBLE) AS INT) + 1] AS p99, max(cpu) AS max_cpu, max(rss_kb) / 1024.0::DOUBLE AS rss_mb FROM ({_SAMPLES}) GROUP BY label"""
 
@@ -550,6 +783,7 @@ def resource_gate(spark, d):
 
 # Ad-hoc SQL
 
+_EXPORT = "SELECT host, unit, count(*) AS n FROM fx_logs GROUP BY host, unit"
 _BY_HOUR = "SELECT host, hour(timestamp) AS hour, count(*) AS samples, max(cpu_percent) AS max_cpu FROM fx_metrics GROUP BY host, hour(timestamp)"
 _ERRORS = "SELECT unit, count(*) AS errors FROM fx_logs WHERE priority <= 3 AND unit IS NOT NULL GROUP BY unit"
 
@@ -564,3 +798,12 @@ def sql_errors_by_unit(spark, d):
     return sqlapi.query(spark, _ERRORS, {"fx_logs": view(spark, d, "fx_logs")})
 
 
+@query(duck("fx_logs") + f" SELECT host, {_CELL('host')} || ',' || {_CELL('unit')} || ',' || {_CELL('n')} AS line FROM ({_EXPORT})")
+def sql_export_csv(spark, d):
+    """The result of a query as text cells, null as an empty one."""
+    return export.as_text(sqlapi.query(spark, _EXPORT, {"fx_logs": view(spark, d, "fx_logs")})).select("host", export.csv_line(["host", "unit", "n"]).alias("line"))
+
+
+@query(duck("fx_logs") + f""" SELECT host, '{{"host":"' || host || '","unit":' || coalesce('"' || unit || '"', 'null') || ',"n":"' || n || '"}}' AS line FROM ({_EXPORT})""")
+def sql_export_json(spark, d):
+    return export.as_text(sqlapi.query(spark, _EXPORT, {"fx_logs": view(spark, d, "fx_logs")})).select("host", export.json_line(["host", "unit", "n"]).alias("line"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.functions.scalars import truncated
+
 KEYS = ("host", "timestamp")
 CPU_FIELDS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
 # File system types, by prefix, that are no disks.
@@ -43,18 +45,21 @@ def meminfo(captures: DataFrame) -> DataFrame:
 
 def pid_stat(captures: DataFrame, page_size: int = 4096) -> DataFrame:
     """Process statistics: the name lies between the first '(' and the last ')', which may themselves be in the name."""
-    rest = F.split(F.regexp_extract("content", r"(?s)^\d+ \(.*\) (.*)$", 1), " ")
-    rows = captures.filter(F.col("content").rlike(r"(?s)^\d+ \(.*\) \S")).select(
-        *KEYS,
-        *[c for c in captures.columns if c == "seq"],
-        F.regexp_extract("content", r"^(\d+) ", 1).try_cast("int").alias("pid"),
-        F.regexp_extract("content", r"(?s)^\d+ \((.*)\) ", 1).alias("name"),
-        F.get(rest, F.lit(0)).alias("state"),
-        _number(F.get(rest, F.lit(11))).alias("utime"),
-        _number(F.get(rest, F.lit(12))).alias("stime"),
-        F.get(rest, F.lit(17)).try_cast("int").alias("threads"),
-        (_number(F.get(rest, F.lit(21))) * page_size).alias("mem_rss"),
+    keys = [*KEYS, *[c for c in captures.columns if c == "seq"]]
+    pid, rest = F.substring_index("content", " ", 1), F.substring_index("content", ") ", -1)
+    name = F.substr("content", F.length(pid) + 3, F.length("content") - F.length(pid) - F.length(rest) - 4)
+    parts = F.split(rest, " ")
+    figures = F.struct(
+        pid.try_cast("int").alias("pid"),
+        name.alias("name"),
+        F.get("parts", F.lit(0)).alias("state"),
+        _number(F.get("parts", F.lit(11))).alias("utime"),
+        _number(F.get("parts", F.lit(12))).alias("stime"),
+        F.get("parts", F.lit(17)).try_cast("int").alias("threads"),
+        (_number(F.get("parts", F.lit(21))) * page_size).alias("mem_rss"),
     )
+    # generators of one row: the split and the figures are made once, also for the filter that follows
+    rows = captures.filter(F.col("content").rlike(r"(?s)^\d+ \(.*\) \S")).select(*keys, "content", F.explode(F.array(parts)).alias("parts")).select(*keys, F.inline(F.array(figures)))
     return rows.dropna(subset=["pid", "state", "utime", "stime", "threads", "mem_rss"])
 
 
@@ -93,8 +98,14 @@ def cgroup_vmid(content: Column) -> Column:
 
 
 def first_line(content: Column) -> Column:
-    """A version line: first line, trimmed, 'unknown' if blank or missing."""
-    return F.coalesce(F.nullif(F.trim(F.substring_index(content, "\n", 1)), F.lit("")), F.lit("unknown"))
+    """A version line: first line, trimmed, at most 256 bytes, 'unknown' if blank or missing."""
+    return hostname(F.substring_index(content, "\n", 1))
+
+
+def hostname(content: Column) -> Column:
+    """A host's name: the whole content, trimmed, at most 256 bytes, 'unknown' if blank or missing."""
+    trimmed = F.btrim(content, F.lit(" \t\r\n"))
+    return F.coalesce(F.nullif(truncated(trimmed, 256), F.lit("")), F.lit("unknown"))
 
 
 def runtime(cgroup: Column, has_cluster_dir: Column, node: Column, version: Column) -> Column:
@@ -103,7 +114,7 @@ def runtime(cgroup: Column, has_cluster_dir: Column, node: Column, version: Colu
     none = F.lit(None).cast("string")
     kind = F.when(vmid.isNotNull(), "container").when(has_cluster_dir, "host").otherwise("none")
     on_host = vmid.isNull() & has_cluster_dir
-    return F.struct(kind.alias("kind"), F.when(on_host, F.coalesce(F.nullif(F.trim(node), F.lit("")), F.lit("unknown"))).otherwise(none).alias("node"), F.when(on_host, first_line(version)).otherwise(none).alias("version"), vmid.alias("vmid"))
+    return F.struct(kind.alias("kind"), F.when(on_host, hostname(node)).otherwise(none).alias("node"), F.when(on_host, first_line(version)).otherwise(none).alias("version"), vmid.alias("vmid"))
 
 
 def cgroup_counters(cpu: DataFrame, current: DataFrame, most: DataFrame) -> DataFrame:

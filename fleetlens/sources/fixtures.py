@@ -26,7 +26,7 @@ SELECT ts AS timestamp, 'host-' || CAST(user_id % 16 AS STRING) AS host, event_i
   CASE WHEN user_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(event_id * 1000 AS BIGINT) END AS swap_used
 FROM events""",
     "fx_counters": """
-SELECT ts AS timestamp, 'host-' || CAST(user_id % 16 AS STRING) AS host, event_id AS seq, CAST(user_id AS INT) AS vmid,
+SELECT ts AS timestamp, 'host-' || CAST(user_id % 16 AS STRING) AS host, event_id AS seq, CAST(floor(user_id / 16) AS INT) AS vmid,
   CAST(SUM(CAST(floor(value) AS BIGINT)) OVER h AS BIGINT) AS c_user, CAST(0 AS BIGINT) AS c_nice,
   CAST(SUM(event_id % 7) OVER h AS BIGINT) AS c_system, CAST(SUM(event_id % 50) OVER h AS BIGINT) AS c_idle,
   CAST(SUM(event_id % 3) OVER h AS BIGINT) AS c_iowait,
@@ -39,9 +39,11 @@ SELECT CAST(date_trunc('month', l_shipdate) AS {ts}) AS timestamp, 'host-' || CA
   CAST(l_orderkey * 8 + l_linenumber AS INT) AS pid, 'process-' || CAST(l_partkey % 50 AS STRING) AS name,
   '/usr/bin/process-' || CAST(l_partkey % 50 AS STRING) || ' --flag=' || CAST(l_linenumber AS STRING) AS cmdline,
   l_linestatus AS state, l_discount * 100 + l_tax * 10 AS cpu_percent, CAST(floor(l_extendedprice) AS BIGINT) * 1024 AS mem_rss,
-  l_linenumber AS threads, l_suppkey AS uid
+  l_linenumber AS threads, CAST(floor(l_suppkey / 16) AS BIGINT) AS uid
 FROM lineitem""",
-    "fx_passwd": "SELECT s_suppkey AS uid, s_name AS username FROM supplier WHERE s_suppkey % 5 <> 0",
+    "fx_passwd": """
+SELECT 'host-' || CAST(s_suppkey % 16 AS STRING) AS host, CAST(floor(s_suppkey / 16) AS BIGINT) AS uid, s_name AS username
+FROM supplier WHERE s_suppkey % 5 <> 0""",
     "fx_disks": """
 SELECT {ts} '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(s_suppkey % 5 AS INT) AS timestamp, 'host-' || CAST(s_suppkey % 16 AS STRING) AS host,
   '/mount-' || CAST(r_regionkey AS STRING) || '-' || CAST(s_suppkey AS STRING) AS mount_point, '/dev/sd' || CAST(r_regionkey AS STRING) AS filesystem,
@@ -49,7 +51,8 @@ SELECT {ts} '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(s_suppkey % 5 AS IN
   CAST(50000000000 + s_suppkey * 100000000 AS DOUBLE) * 100 / 100000000000 AS percent
 FROM supplier CROSS JOIN region""",
     "fx_mounts": """
-SELECT page_id AS line_no, regexp_extract(url, '^https?://([^/?#]+)', 1) AS device,
+SELECT 'host-' || CAST(CAST(floor(page_id / 40) AS BIGINT) AS STRING) AS host, {ts} '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(page_id % 2 AS INT) AS timestamp,
+  page_id AS line_no, regexp_extract(url, '^https?://([^/?#]+)', 1) AS device,
   COALESCE(NULLIF(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS mount_point,
   CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'tmpfs' WHEN 1 THEN 'cgroup2' ELSE 'ext4' END AS fstype,
   1000 + page_id AS f_blocks, 200 + page_id % 300 AS f_bfree, CAST(4096 AS BIGINT) AS f_frsize
@@ -60,6 +63,12 @@ SELECT CAST(c_custkey AS INT) AS vmid, c_name AS name, 'node-' || CAST(c_nationk
   CASE WHEN c_acctbal < 0 THEN 'stopped' ELSE 'running' END AS status, c_custkey * 1048576 AS maxmem,
   CAST(c_custkey % 8 + 1 AS DOUBLE) AS maxcpu, CASE WHEN c_acctbal < 0 THEN CAST(0 AS BIGINT) ELSE c_custkey * 60 END AS uptime
 FROM customer""",
+    "fx_inventory": """
+SELECT ts AS timestamp, 'host-' || CAST(user_id % 16 AS STRING) AS host, CAST(floor(user_id / 16) AS INT) AS vmid,
+  'guest-' || CAST(user_id AS STRING) AS name, 'node-' || CAST(user_id % 25 AS STRING) AS node,
+  CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'qemu' WHEN 1 THEN 'storage' ELSE 'lxc' END AS type,
+  CASE WHEN event_id % 3 = 0 THEN 'stopped' ELSE 'running' END AS status
+FROM events""",
 }
 
 _TABLE = re.compile(r"\b(FROM|JOIN)\s+(events|lineitem|supplier|region|pages|customer)\b")

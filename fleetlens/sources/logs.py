@@ -20,10 +20,16 @@ def _valid(value: Column) -> Column:
     return is_object & message.isin("STRING", "VOID") & (micros.isNull() | micros.try_cast("long").isNotNull())
 
 
+def _unsigned(text: Column, limit: int) -> Column:
+    number = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("long"))
+    return F.when(number < limit, number).try_cast("int")
+
+
 def journal(lines: DataFrame, now: Column) -> DataFrame:
     """Log rows from columns host, seq and value (a JSON line); lines that are no valid record are left out.
 
-    Times are whole seconds; a record without a time gets `now`. Priority defaults to 6, message to ''.
+    Times are whole seconds; a record without a time gets `now`. A priority that is no number from 0 to 255 is 6, a
+    process number that is none from 0 to 2**32 - 1 (or does not fit the column) is null, a missing message is ''.
     """
     v = F.col("_v")
     identifier, unit = _text(v, "SYSLOG_IDENTIFIER"), _text(v, "_SYSTEMD_UNIT")
@@ -38,9 +44,9 @@ def journal(lines: DataFrame, now: Column) -> DataFrame:
         F.coalesce(identifier, unit).alias("unit"),
         identifier.alias("identifier"),
         unit.alias("systemd_unit"),
-        F.coalesce(_text(v, "PRIORITY").try_cast("int"), F.lit(6)).alias("priority"),
+        F.coalesce(_unsigned(_text(v, "PRIORITY"), 2**8), F.lit(6)).alias("priority"),
         F.coalesce(_text(v, "MESSAGE"), F.lit("")).alias("message"),
-        _text(v, "_PID").try_cast("int").alias("pid"),
+        _unsigned(_text(v, "_PID"), 2**32).alias("pid"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The generated fleet's first moment, its step and its figures.
 START = "2026-04-25 00:00:00"
 STEP_SECONDS = 10
 
@@ -17,7 +18,7 @@ def samples(hosts: DataFrame, count: int) -> DataFrame:
 
 def metrics(hosts: DataFrame, count: int = 60_480) -> DataFrame:
     i = F.col("sample").cast("long")
-    return samples(hosts, count).select("host", "timestamp", (F.lit(20.0).cast("double") + i % 10).alias("cpu_percent"), F.lit(16_000_000_000).alias("mem_total"), (F.lit(1_500_000_000) + i % 100_000_000).alias("mem_used"), F.lit(10.0).alias("mem_percent"))
+    return samples(hosts, count).select("host", "timestamp", (F.lit(20.0).cast("double") + i % 10).alias("cpu_percent"), F.lit(10.0).alias("cpu_user"), F.lit(5.0).alias("cpu_system"), F.lit(0.5).alias("cpu_iowait"), F.lit(16_000_000_000).alias("mem_total"), (F.lit(1_500_000_000) + i % 100_000_000).alias("mem_used"), F.lit(10.0).alias("mem_percent"), F.lit(0).cast("long").alias("swap_total"), F.lit(0).cast("long").alias("swap_used"))
 
 
 def processes(hosts: DataFrame, count: int = 60_480, per_sample: int = 200) -> DataFrame:

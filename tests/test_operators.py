@@ -1,5 +1,6 @@
 """The reference's tested contracts, and the cases it leaves untested, on small frames."""
 
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,6 +14,7 @@ from fleetlens.operators import benchstats, derive, joins, payload
 from fleetlens.operators import select as sel
 from fleetlens.operators.store import Store
 from fleetlens.plans import sqlapi
+from fleetlens.schemas import TABLES
 from fleetlens.sources import captures, inventory, logs
 
 T0 = datetime(2024, 1, 1)
@@ -85,7 +87,7 @@ def test_pid_stat_uid_cmdline(spark):
 def test_passwd_and_usernames(spark):
     acc = captures.passwd(frame(spark, [("h", "root:x:0:0::/:/bin/sh\nbad\nsecond:x:0:1\nx::7:z")], "host string, content string"))
     assert sorted((r["uid"], r["username"]) for r in acc.filter("uid = 0").collect()) == [(0, "root")]
-    got = joins.with_usernames(frame(spark, [("h", 0), ("h", 5)], "host string, uid long"), acc, on=("host", "uid")).collect()
+    got = joins.with_usernames(frame(spark, [("h", 0), ("h", 5)], "host string, uid long"), acc).collect()
     assert sorted((r["uid"], r["username"]) for r in got) == [(0, "root"), (5, "5")]
 
 
@@ -122,10 +124,12 @@ def test_journal(spark):
         '{"MESSAGE":[104,105]}',
         '{"__REALTIME_TIMESTAMP":"-1"}',
         "",
+        '{"PRIORITY":"300","_PID":"-5"}',
+        '{"PRIORITY":"255","_PID":"4294967296"}',
     ]
     df = frame(spark, [("h", i, t) for i, t in enumerate(lines)], "host string, seq long, value string")
     got = logs.journal(df, F.lit("2024-01-01 00:00:00")).orderBy("seq").collect()
-    assert [r["seq"] for r in got] == [0, 1, 5]
+    assert [r["seq"] for r in got] == [0, 1, 5, 7, 8] and [(r["priority"], r["pid"]) for r in got[3:]] == [(6, None), (255, None)]
     assert tuple(got[0])[0] == datetime(2023, 11, 14, 22, 13, 20) and got[0]["unit"] == "sshd" and got[0]["pid"] == 7
     assert (got[1]["unit"], got[1]["priority"], got[1]["message"], got[1]["pid"], got[1]["timestamp"]) == ("x.service", 6, "", None, T0)
     assert got[2]["timestamp"] == datetime(1969, 12, 31, 23, 59, 59)
@@ -162,13 +166,22 @@ def test_processes(spark):
 LOG = "host string, timestamp timestamp_ntz, seq long, unit string, priority int, message string, pid int"
 
 
+def batched(df):
+    return df.withColumn("batch", F.date_trunc("day", "timestamp").cast("timestamp_ntz"))
+
+
 def test_log_selection(spark):
     df = frame(spark, [("h", at(i), i, "u", 4, "é" * 2500, None) for i in range(101)], LOG)
+    df = batched(df)
     got = payload.selected_logs(df).orderBy("rank").collect()
     assert [r["seq"] for r in got] == list(range(100, 80, -1)) and {len(r["message"].encode()) for r in got} == {4096}
-    assert [tuple(r) for r in payload.log_stats(df).collect()] == [("h", 101, 20, 81)]
+    assert [tuple(r) for r in payload.log_stats(df).collect()] == [("h", T0, 101, 20, 81)]
+    # a batch is selected and counted by itself
+    two = batched(frame(spark, [("h", at(i % 2 * 86400), i, "u", 4, "m", None) for i in range(50)], LOG))
+    assert sorted((r["batch"].day, r["seen"], r["uploaded"]) for r in payload.log_stats(two).collect()) == [(1, 25, 20), (2, 25, 20)]
+    assert payload.selected_logs(two).count() == 40
     mixed = frame(spark, [("h", at(0), 0, "u", 3, "a", None), ("h", at(0), 1, "u", 6, "b", None), ("h", at(0), 2, "u", 4, "c", None)], LOG)
-    assert [r["seq"] for r in payload.selected_logs(mixed).orderBy("rank").collect()] == [2, 0, 1]
+    assert [r["seq"] for r in payload.selected_logs(batched(mixed)).orderBy("rank").collect()] == [2, 0, 1]
 
 
 def test_log_search(spark):
@@ -182,7 +195,7 @@ def test_payload_round_trip(spark):
     m = frame(spark, [("h", at(0), 1.0), ("lonely", at(0), None)], "host string, timestamp timestamp_ntz, cpu_percent double")
     p = frame(spark, [("h", at(0), 1, "n", "c", 5.0, 1, 1, 0)], PROC)
     d = frame(spark, [("h", "/", 5.0)], "host string, mount_point string, percent double")
-    lg = frame(spark, [("h", at(0), 1, "u", 4, 'say "x"\n', None)], LOG)
+    lg = batched(frame(spark, [("h", at(0), 1, "u", 4, 'say "x"\n', None), ("h", at(-90000), 0, "u", 1, "an older batch", None)], LOG))
     c = frame(spark, [("h", 5, "n")], "host string, vmid int, name string")
     cm = frame(spark, [("h", 5, None, None)], "host string, vmid int, cpu_pct double, mem_max long")
     doc = payload.nested(m, p, d, lg, c, cm)
@@ -190,6 +203,45 @@ def test_payload_round_trip(spark):
     assert '"cpu_pct":null' in texts["h"] and '"mem_max":null' in texts["h"] and '"processes":[]' in texts["lonely"]
     back = payload.from_document(payload.to_document(doc), doc.schema, "logs").collect()
     assert [(r["host"], r["message"]) for r in back] == [("h", 'say "x"\n')]
+    flat = payload.flattened(payload.to_document(doc), doc.schema)
+    assert set(flat) == {"metrics", *payload.PARTS} and [r["pid"] for r in flat["processes"].collect()] == [1]
+    assert sorted((r["host"], r["cpu_percent"]) for r in flat["metrics"].collect()) == [("h", 1.0), ("lonely", None)]
+    runtime = frame(spark, [("h", "container", None, None, 5)], "host string, kind string, node string, version string, vmid int")
+    agent = frame(spark, [("h", 1.5, 100)], "host string, cpu_percent double, rss_kb long")
+    texts = {r["host"]: r["document"] for r in payload.to_document(payload.nested(m, p, d, lg, c, cm, runtime, agent)).collect()}
+    assert '"runtime":{"kind":"container","node":null,"version":null,"vmid":5}' in texts["h"] and '"agent":{"cpu_percent":1.5,"rss_kb":100}' in texts["h"]
+    assert '"runtime":null' in texts["lonely"]
+
+
+def test_snapshots_by_host(spark):
+    df = frame(spark, [("a", at(10), 1), ("a", at(0), 2), ("b", at(9), 3), ("b", at(9), 4)], "host string, timestamp timestamp_ntz, pid int")
+    assert sorted(r["pid"] for r in sel.latest_snapshot(df).collect()) == [1, 3, 4]
+    assert [r["pid"] for r in sel.latest_snapshot(df, keys=()).collect()] == [1]
+    dated = df.withColumn("date", F.to_date("timestamp"))
+    assert sorted(r["pid"] for r in sel.latest_snapshot(dated).collect()) == [1, 3, 4]
+
+
+def test_hosts_do_not_mix(spark):
+    m = frame(spark, [(h, at(0), "/dev/sda1", p, "ext4", n, 5, 1, 1) for h, p, n in (("a", "/long", 0), ("a", "/s", 1), ("b", "/other", 0))], "host string, timestamp timestamp_ntz, device string, mount_point string, fstype string, line_no int, f_blocks long, f_bfree long, f_frsize long")
+    assert sorted((r["host"], r["mount_point"]) for r in joins.distinct_disks(m).collect()) == [("a", "/s"), ("b", "/other")]
+    acc = frame(spark, [("a", 0, "root"), ("b", 0, "toor")], "host string, uid long, username string")
+    p = frame(spark, [("a", 0), ("b", 0), ("c", 0)], "host string, uid long")
+    assert sorted((r["host"], r["username"]) for r in joins.with_usernames(p, acc).collect()) == [("a", "root"), ("b", "toor"), ("c", "0")]
+    g = frame(spark, [("a", at(0), 5, "running"), ("b", at(0), 5, "running"), ("b", at(9), 5, "stopped")], "host string, timestamp timestamp_ntz, vmid int, status string")
+    c = frame(spark, [("a", at(0), 5, 1), ("b", at(0), 5, 2), ("b", at(9), 5, 3)], "host string, timestamp timestamp_ntz, vmid int, usage_usec long")
+    assert sorted((r["host"], r["usage_usec"]) for r in joins.guest_metrics(g, c).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_exports(spark, tmp_path):
+    from fleetlens.sources import export
+
+    df = frame(spark, [(1, 'say "x"', None), (2, "a,b\nc", 5)], "i int, t string, n int")
+    export.write_json(df, str(tmp_path / "j"))
+    assert sorted((r["i"], r["t"], r["n"]) for r in spark.read.schema(df.schema).json(str(tmp_path / "j")).collect()) == [(1, 'say "x"', None), (2, "a,b\nc", 5)]
+    export.write_csv(df, str(tmp_path / "c"))
+    back = spark.read.csv(str(tmp_path / "c"), header=True, escape='"', multiLine=True, schema=df.schema)
+    assert sorted((r["i"], r["t"], r["n"]) for r in back.collect()) == [(1, 'say "x"', None), (2, "a,b\nc", 5)]
+    assert export.as_text(df).dtypes == [("i", "string"), ("t", "string"), ("n", "string")]
 
 
 def test_bench(spark):
@@ -223,11 +275,64 @@ def test_store(spark, tmp_path):
     assert [r["cpu_percent"] for r in store.read("metrics").collect()] == [4.0]
 
 
+def test_a_batch_that_is_written_again_replaces_itself(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create()
+    rows = frame(spark, [("h", at(i * 50_000), float(i)) for i in range(4)], "host string, timestamp timestamp_ntz, cpu_percent float")
+    for _ in range(2):
+        store.append("metrics", rows, "s-0")
+    store.append("metrics", rows, "s-1")
+    store.append("metrics", rows)
+    store.append("metrics", rows)
+    assert store.read("metrics").count() == 16 and store.read("metrics").columns == [f.name for f in TABLES["metrics"]]
+
+
+def test_retention_that_was_cut_off_is_finished(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create()
+    rows = frame(spark, [("h", at(86400 + 5), 1.0), ("h", at(86400 + 50), 2.0), ("h", at(86400 * 2), 3.0)], "host string, timestamp timestamp_ntz, cpu_percent float")
+    store.append("metrics", rows)
+    # the rewrite of the boundary date is complete, and its old folder is gone already
+    kept = store.read("metrics").filter(F.col("timestamp") >= F.lit(at(86400 + 40))).filter("date = DATE'2024-01-02'").drop("date")
+    kept.withColumn("batch", F.lit("retained")).write.partitionBy("batch").parquet(str(tmp_path / "_retained-metrics" / "date=2024-01-02"))
+    shutil.rmtree(tmp_path / "metrics" / "date=2024-01-02")
+    store.retain(at(86400 + 45), timedelta(seconds=5))
+    assert sorted(r["cpu_percent"] for r in store.read("metrics").collect()) == [2.0, 3.0]
+    # one that was not written to its end is dropped, and the date is rewritten from what the table has
+    kept = tmp_path / "_retained-metrics" / "date=2024-01-02"
+    kept.mkdir(parents=True)
+    (kept / "part").write_text("half")
+    store.retain(at(86400 + 45), timedelta(seconds=5))
+    assert sorted(r["cpu_percent"] for r in store.read("metrics").collect()) == [2.0, 3.0] and not kept.exists()
+
+
+def test_all_six_tables(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create()
+    for name, schema in TABLES.items():
+        row = {f.name: {"string": "x", "int": 1, "bigint": 2, "float": 0.5, "double": 0.25, "timestamp_ntz": at(5), "date": at(5).date()}[f.dataType.simpleString()] for f in schema}
+        store.append(name, spark.createDataFrame([row], schema).drop("date"))
+        assert [r.asDict() for r in store.read(name).collect()] == [row]
+
+
+def test_views_of_the_session_come_back(spark):
+    frame(spark, [(7,)], "a int").createOrReplaceTempView("fx_kept")
+    assert sqlapi.query(spark, "SELECT a FROM fx_kept", {"fx_kept": frame(spark, [(1,)], "a int")}).collect() == [Row(a=1)]
+    assert spark.table("fx_kept").collect() == [Row(a=7)]
+    sqlapi.query(spark, "SELECT a FROM fx_gone", {"fx_gone": frame(spark, [(1,)], "a int")})
+    assert not spark.catalog.tableExists("fx_gone")
+
+
+def test_hostnames(spark):
+    assert values(spark, captures.hostname, [" pve1 \n", "", None, " \n", "x" * 300, "é" * 200]) == ["pve1", "unknown", "unknown", "unknown", "x" * 256, "é" * 128]
+    assert values(spark, captures.first_line, ["8.1 \nmore", "y" * 300]) == ["8.1", "y" * 256]
+
+
 def test_added_columns(spark, tmp_path):
     """Files from before two log columns were added read as null there."""
     store = Store(spark, str(tmp_path))
     old = frame(spark, [("h", at(0), "s", "u", 4, "m")], "host string, timestamp timestamp_ntz, source string, unit string, priority int, message string")
-    old.withColumn("date", F.col("timestamp").cast("date")).write.partitionBy("date").parquet(store.path("logs"))
+    old.withColumns({"date": F.col("timestamp").cast("date"), "batch": F.lit("old")}).write.partitionBy("date", "batch").parquet(store.path("logs"))
     store.append("logs", old.withColumn("identifier", F.lit("i")))
     assert sorted((r["identifier"] or "") for r in store.read("logs").collect()) == ["", "i"]
 
