@@ -5,10 +5,15 @@
    leader, the member whose other buckets are largest (the middle of a group of copies).
 3. A pair's signatures are compared in batches; a pair goes as soon as the posterior probability that its similarity
    reaches the threshold falls under the chosen miss probability. Survivors are verified on full shingle sets.
-4. Components of the verified links. Buckets that still hold more than one component are compared in blocks that are
-   dealt out over tasks: first only the likeliest pairs that would join components (a spanning forest of each block)
-   are verified, and components are built again; at the end every pair left between components is, so that a link
-   between two members that are both unlike the leader is found. The forests are linear in a bucket's members.
+4. Components of the verified links. A bucket that still holds more than one component may have links between two
+   members that are both unlike the leader. For the members of such buckets the shingles that no other one has are
+   found: two sets with x and y shared shingles have at most min(x, y) in common, so a member with many shingles of its
+   own, as an outlier in a group of copies has, is ruled out against all members at once, and exactly. What is left is
+   compared in blocks that are dealt out over tasks: by that bound, by the signatures, and by a second exact bound, for
+   which each set's shared shingles are counted by hash in a few hundred cells (two sets have at most the sum of the
+   cells' minima in common). Of the pairs that remain first only the likeliest that would join components (a spanning
+   forest of each block) are verified, and components are built again; at the end every pair left between components
+   is. The forests are linear in a bucket's members.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import stored
+from fleetlens.llm.common import join_counted, join_wide, private, stored
 from fleetlens.llm.components import components
 from fleetlens.llm.shingles import band_keys, minhashes, set_digest, shingle_set
 
@@ -55,17 +60,37 @@ def surviving(a: np.ndarray, b: np.ndarray, needed: list[int], batch: int = BATC
     return alive
 
 
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall in each of 128 to 1024 cells, more for larger sets."""
+    g = min(1024, max(128, 1 << (max(1, len(hashes)) - 1).bit_length()))
+    return np.minimum(np.bincount((hashes & (g - 1)).astype(np.int64), minlength=g), 65_535).astype(np.uint16)
+
+
+class _Cells:
+    """The cells of many sets, folded to any number that two of them share."""
+
+    def __init__(self, column: pd.Series) -> None:
+        self.own = [np.frombuffer(x, np.uint16) for x in column]
+        self.size = np.array([len(x) for x in self.own])
+        self.folded = {int(g): np.stack([x.reshape(-1, g).sum(axis=0, dtype=np.int32) if len(x) >= g else np.zeros(g, np.int32) for x in self.own]) for g in np.unique(self.size)}
+
+    def most_common(self, x: int, y: np.ndarray) -> np.ndarray:
+        """At most how many elements set x has in common with each of the sets y."""
+        out, g = np.zeros(len(y), np.int64), np.minimum(self.size[x], self.size[y])
+        for level in np.unique(g):
+            at, rows = g == level, self.folded[int(level)]
+            out[at] = np.minimum(rows[x], rows[y[at]]).sum(axis=1)
+        return out
+
+
 def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, HASHES)
 
 
-def _grouped(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1e-6, mark: str | None = None) -> DataFrame:
-    """Rows of near_duplicates without kept, with root (a number for each component; null for texts without words).
-
-    mark names a column of docs, a hash of the text, that is carried through.
-    """
-    carried = [mark] if mark else []
-    plain = docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text", *carried)
+def _grouped(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1e-6) -> DataFrame:
+    """For each row of docs: doc_id, n_shingles, component_id, root (a number for each component; null for texts
+    without words) and mark, a hash of the text."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -79,18 +104,18 @@ def _grouped(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1
                     else:
                         out.append((0, None, None, None))
                 n, digest, signature, keys = zip(*out, strict=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_shingles": n, "digest": digest, "signature": signature, "bands": keys} | {m: part[m].array for m in carried})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "mark": part["mark"].array, "n_shingles": n, "digest": digest, "signature": signature, "bands": keys})
 
-    sketch = stored(plain.mapInPandas(sketched, "doc_id long, n_shingles long, digest binary, signature binary, bands array<bigint>" + "".join(f", {m} long" for m in carried)).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    sketch = stored(plain.mapInPandas(sketched, "doc_id long, mark long, n_shingles long, digest binary, signature binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id()), "sketches")
     # a node for each distinct set: the row that stands for it, and the least doc_id
-    classes = stored(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("label")), "set-classes")
-    nodes = stored(sketch.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "signature", "bands", *carried).join(classes.select(F.col("node").alias("row"), "label", "digest"), "row").withColumnRenamed("row", "node"), "set-nodes")
+    classes = stored(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.coalesce(F.min("doc_id"), F.lit(_TOP)).alias("label"), F.count("*").alias("n")), "set-classes")
+    nodes = stored(sketch.filter("n_shingles > 0").select("row", "doc_id", "mark", "n_shingles", "signature", "bands").join(classes.select(F.col("node").alias("row"), "label", "digest"), "row").withColumnRenamed("row", "node"), "set-nodes")
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(bands.join(shared, "key"), "bucket-members")
+    counts = stored(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = stored(join_counted(bands, counts, ["key"]), "bucket-members")
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
-    leaders = members.join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("leader"))
-    pairs = members.join(leaders, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    leaders = stored(members.join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("leader"), F.first("n").alias("n")), "bucket-leaders")
+    pairs = stored(join_counted(members.select("key", "node"), leaders, ["key"]).filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "leader-pairs")
 
     needed = least_matches(percent / 100, miss)
     sides = nodes.select("node", "n_shingles", "signature")
@@ -102,61 +127,90 @@ def _grouped(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1
             if len(pdf):
                 yield pdf.iloc[surviving(_signatures(pdf["s_a"]), _signatures(pdf["s_b"]), needed)][["a", "b"]]
 
-    first = stored(pairs.join(side("b"), "b").join(side("a"), "a").filter(fits).select("a", "b", "s_a", "s_b").mapInPandas(pruned, "a long, b long"), "pruned-pairs")
+    first = stored(join_wide(pairs, side("a"), "a", "b").join(side("b"), "b").filter(fits).select("a", "b", "s_a", "s_b").mapInPandas(pruned, "a long, b long"), "pruned-pairs")
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        """The pairs of nodes whose full sets are similar enough, as labels."""
-        wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "doc_id", "digest", *carried), "node").select("node", F.col("doc_id").alias("id"), "digest", *[F.col(m).alias("id_mark") for m in carried])
-        same = plain["doc_id"].eqNullSafe(wanted["id"])
-        for m in carried:
-            same &= plain[m] == wanted["id_mark"]
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """node and its full set of shingle hashes, for the nodes in wanted; texts are read again."""
+        wanted = wanted.distinct().join(nodes.select("node", F.col("doc_id").alias("id"), F.col("mark").alias("id_mark"), "digest"), "node")
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
                 for node, digest, text in zip(pdf["node"], pdf["digest"], pdf["text"], strict=True):
                     s = shingle_set(text, words)
-                    if set_digest(s) == digest:  # another row may have the same doc_id
-                        out.append((node, s.tobytes()))
+                    if set_digest(s) == digest:  # another text may have the same hash
+                        out.append((node, s.view(np.int64)))
                 yield pd.DataFrame(out, columns=["node", "hashes"])
 
-        full = plain.join(wanted, same).select("node", "digest", "text").mapInPandas(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        read = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["id"]) & (plain["mark"] == wanted["id_mark"])).select("node", "digest", "text")
+        # rows that are equal in doc_id and text give one set
+        return read.mapInPandas(sets, "node long, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+    def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs of nodes whose full sets are similar enough."""
 
         def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 keep = []
                 for x, y in zip(pdf["h_a"], pdf["h_b"], strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = len(x) + len(y) - len(np.union1d(x, y))
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-        sided = lambda x: full.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
-        return stored(candidates.join(sided("b"), "b").join(sided("a"), "a").select("a", "b", "h_a", "h_b").mapInPandas(similar, "a long, b long"), "verified-pairs")
+        sided = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
+        with_a = join_wide(candidates, sided("a"), "a", "b")
+        return stored(with_a.join(sided("b"), "b").select("a", "b", "h_a", "h_b").mapInPandas(similar, "a long, b long"), "verified-pairs")
+
+    links, tested = verified(first, sets_of(first.select(F.col("a").alias("node")).union(first.select("b")))), first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = components(links)
+
+    # members of the buckets that hold more than one component
+    placed = stored(members.filter("n > 2").select("key", "node").join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "bucket-roots")
+    unlike = lambda df, *more: df.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), *more).filter("x <> y").drop("x", "y")
+    held = stored(join_counted(placed, stored(unlike(placed), "open-buckets"), ["key"]).select("key", "node"), "open-members")
+    sets = stored(sets_of(held.select("node")), "open-sets")
+    # shingles that another set has as well are the most that a set can have in common with any
+    lone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.first("node").alias("node")).filter("n = 1").groupBy("node").agg(F.collect_list("h").alias("lone"))
 
-    def left_over(roots: DataFrame, forest: int) -> DataFrame:
-        """Pairs of different components in a bucket that the signatures let through.
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shared = [x if y is None else np.setdiff1d(x, y, assume_unique=True) for x, y in zip(pdf["hashes"], pdf["lone"], strict=True)]
+            yield pd.DataFrame({"node": pdf["node"], "n_shingles": [len(x) for x in pdf["hashes"]], "common": [len(x) for x in shared], "cells": [cells_of(x).tobytes() for x in shared]})
+
+    facts = stored(sets.join(lone, "node", "left").select("node", "hashes", "lone").mapInPandas(counted, "node long, n_shingles long, common long, cells binary"), "open-facts")
+    known = stored(held.join(facts.drop("cells"), "node"), "open-known")
+    least = stored(known.groupBy("key").agg(F.count("*").alias("n"), F.min("n_shingles").alias("least")), "open-least")
+    # with `common` shared shingles, a partner has at most this many altogether
+    reach = F.floor(F.col("common") * (100 + percent) / percent) - F.col("n_shingles")
+    live = stored(join_counted(known, least, ["key"]).filter((reach >= F.col("least")) & (100 * F.col("common") >= percent * F.col("n_shingles"))).select("key", "node", "n_shingles", "common"), "live-members")
 
-        With forest (a number that deals the blocks anew) only pairs inside blocks, and only the likeliest that join.
+    def left_over(roots: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of different components in a bucket that neither the bounds nor the signatures rule out.
+
+        With forest only pairs inside blocks, and only the likeliest that join; every member is dealt to a block twice,
+        independently, so that what is alike in different blocks of one dealing meets in the other.
         """
-        placed = members.filter("n > 2").join(roots.withColumnRenamed("v", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).filter("x <> y").select("key", "m")
-        rest = placed.join(open_keys, "key").join(sides, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(forest)), F.col("blocks")).cast("int"))
+        placed = stored(live.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "live-roots")
+        rest = join_counted(placed, stored(unlike(placed), "live-buckets"), ["key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("deal", F.explode(F.lit([0, 1] if forest else [0]))).filter("deal = 0 OR blocks > 1").withColumn("own", F.pmod(F.xxhash64("node", "deal"), F.col("blocks")).cast("int")).join(sides.select("node", "signature"), "node").join(facts.select("node", "cells"), "node")
         # a member meets every block, its own as well: rows of (key, lower block, higher block)
         met = rest.withColumn("other", F.col("own")) if forest else rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles", "signature")
+        dealt = met.select("key", "deal", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n_shingles", "common", "signature", "cells")
 
         def compared(pdf: pd.DataFrame) -> pd.DataFrame:
             key, i, j = pdf["key"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
             pdf = pdf.sort_values("node")
-            s, node, root, size, own = _signatures(pdf["signature"]), pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["own"].to_numpy()
+            s, cells = _signatures(pdf["signature"]), _Cells(pdf["cells"])
+            node, root, size, most, own = (pdf[c].to_numpy() for c in ("node", "root", "n_shingles", "common", "own"))
             left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), []
             for x in left:
-                y = right[(root[right] != root[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
+                both = np.minimum(most[right], most[x])
+                y = right[(root[right] != root[x]) & (100 * both >= percent * (size[right] + size[x] - both))]
                 if i == j:
                     y = y[y > x]
                 if len(y):
                     y = y[surviving(np.broadcast_to(s[x], (len(y), HASHES)), s[y], needed)]
+                    both = cells.most_common(x, y)
+                    y = y[100 * both >= percent * (size[y] + size[x] - both)]
                     if not forest:  # a pair is given by the first of the buckets that it shares
                         first_band = (s[y] == s[x]).reshape(len(y), HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
                         y = y[band_keys(s[x], ROWS)[first_band] == key]
@@ -165,20 +219,23 @@ def _grouped(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1
                 found = _forest(found, root)
             return pd.DataFrame([(min(node[x], node[k]), max(node[x], node[k])) for _, x, k in found], columns=["a", "b"]).astype("int64")
 
-        return dealt.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+        return dealt.groupBy("key", "deal", "i", "j").applyInPandas(compared, "a long, b long").distinct()
 
-    links, tested = verified(first), first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    roots = components(links)
-    for forest in (1, 2, 0):
+    for forest in (True, False):
         more = stored(left_over(roots, forest).join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            links, tested = links.union(verified(more)), tested.union(more)
+        if more.isEmpty():
+            continue
+        tested, new = tested.union(more), verified(more, sets)
+        if not new.isEmpty():
+            links = links.union(new)
             roots = components(links)
-    # a component's least doc_id
-    placed = classes.join(roots.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.join(placed.groupBy("root").agg(F.min("label").alias("least")), "root").select("digest", "root", F.nullif("least", F.lit(_TOP)).alias("component"))
-    found = sketch.select("doc_id", "n_shingles", "digest", *carried).join(named, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", "component_id", "root", *carried)
+    # a component's least doc_id, given to its sets and by them to its rows
+    placed = stored(classes.join(roots.withColumnRenamed("v", "node"), "node", "left").select("digest", "label", F.col("n").alias("rows"), F.coalesce("root", "node").alias("root")), "set-roots")
+    least = stored(placed.groupBy("root").agg(F.count("*").alias("n"), F.min("label").alias("least")), "component-labels")
+    named = stored(join_counted(placed, least, ["root"]).select("digest", "root", F.nullif("least", F.lit(_TOP)).alias("component"), F.col("rows").alias("n")), "set-components")
+    rows = sketch.select("doc_id", "mark", "n_shingles", "digest")
+    found = join_counted(rows.filter("n_shingles > 0"), named, ["digest"]).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "root", "mark")
+    return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), "mark"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, miss: float = 1e-6) -> DataFrame:
@@ -219,10 +276,10 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
     null or repeated id takes no other document along: of several documents with one id, each stays or goes by its own
     component. Texts without words are linked with nothing and stay. Rows equal in doc_id and text stay once.
     """
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    rows = _grouped(marked, mark="_mark", **how)
+    doc, mark = private("doc"), private("mark")
+    rows = _grouped(docs.select("doc_id", "text"), **how)
     alone = lambda c: F.when(F.col("root").isNull(), F.col(c)).alias(f"alone_{c}")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_mark")).alias("x")
-    ids = rows.groupBy("root", alone("doc_id"), alone("_mark")).agg(first).select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_id_mark"))
-    kept = marked.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_id_mark")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("x")
+    ids = rows.groupBy("root", alone("doc_id"), alone("mark")).agg(first).select(F.col("x.doc_id").alias(doc), F.col("x.mark").alias(mark))
+    kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark)), "left_semi")
+    return kept.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", mark]).drop(mark)

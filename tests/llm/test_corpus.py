@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small frames with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import heapq
 import io
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,7 @@ def test_audio_round_trip(docs, empty):
     assert len(got) == docs.count() and audio.features(empty).count() == 0
     text = dict(all_texts(docs))
     for r in got:
+        assert r["tensors_bytes"] == len(r["tensors"]) and r["tensors_sha256"] == hashlib.sha256(bytes(r["tensors"])).hexdigest()
         data = (text[r["doc_id"]] or "").encode()
         want = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         with wave.open(io.BytesIO(bytes(r["media"]))) as w:
@@ -84,6 +87,35 @@ def test_audio_round_trip(docs, empty):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_audio_features_from_the_stored_form_against_plain_ones():
+    """Convolution of the zero-stuffed signal, a Fourier matrix and a loop over mel bands instead of phases and blocks."""
+    s = audio.AudioSpec()
+    data = audio.padded(("Plain text, twice over. " * 90).encode())
+    x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    n = s.up * s.taps
+    t = np.arange(n) - (n - 1) / 2
+    h = np.sinc(t / max(s.up, s.down)) * np.hamming(n)
+    stuffed = np.zeros(len(x) * s.up)
+    stuffed[:: s.up] = x
+    y = np.convolve(stuffed, h * s.up / h.sum())[:: s.down][: -(-len(x) * s.up // s.down)]
+    frames = max(1, 1 + -(-max(0, len(y) - s.window) // s.hop))
+    y = np.concatenate([y, np.convolve(stuffed, h * s.up / h.sum())[:: s.down][len(y) :], np.zeros(s.window)])
+    rate = s.rate * s.up / s.down
+    wave_at = np.exp(-2j * np.pi * np.outer(np.arange(s.fft // 2 + 1), np.arange(s.window)) / s.fft)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + rate / 2 / 700), s.mels + 2)]
+    want = np.zeros((frames, s.mels))
+    for k in range(frames):
+        power = np.abs(wave_at @ (y[k * s.hop : k * s.hop + s.window] * np.hanning(s.window))) ** 2
+        for b in range(s.mels):
+            lo, mid, hi = edges[b : b + 3]
+            weight = [max(0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for f in np.arange(s.fft // 2 + 1) * rate / s.fft]
+            want[k, b] = np.log(np.dot(power, weight) + 1e-6)
+    mel, _ = audio.log_mel(np.frombuffer(data, np.uint8), s)
+    table = audio.read_tensors(audio.to_ipc(audio.tensors(mel, s)))
+    assert (audio.read_frames(table, s) == mel).all() and len(mel) == frames
+    assert np.allclose(mel, want, atol=2e-2)
+
+
 def test_audio_blocks_agree_and_resampling_filters():
     s = audio.AudioSpec()
     x = np.random.default_rng(0).integers(0, 256, 200_000).astype(np.uint8)
@@ -157,12 +189,14 @@ def test_secret_base_spans():
 def test_secret_network_on_held_out_findings():
     rng, words = random.Random(4), vocabulary(4)
     made = [f for _ in range(900) for f in secrets._generated(rng, " ".join(rng.choice(words) for _ in range(14)))]
-    x, y = np.stack([secrets.encoded(t, s) for t, s, _ in made]), np.array([label for *_, label in made], float)
+    of, y = [secrets.windows(t, s) for t, s, _ in made], np.array([label for *_, label in made], float)
+    each = lambda a, b: (np.concatenate(of[a:b]), np.repeat(y[a:b], [len(w) for w in of[a:b]]))
     net = secrets.CharNet()
-    net.train(x[:1000], y[:1000])
-    net.calibrate(x[1000:1400], y[1000:1400], 0.95)
-    hit, true = net.scores(x[1400:]) >= net.threshold, y[1400:] > 0
+    net.train(*each(0, 1000))
+    net.calibrate(*each(1000, 1400), 0.95)
+    hit, true = net.best(of[1400:]) >= net.threshold, y[1400:] > 0
     assert hit[true].mean() > 0.9 and hit[~true].mean() < 0.1
+    x, y = each(0, 64)
     # the gradient is that of the loss
     p, q = secrets.CharNet(), secrets.CharNet()
     q.train(x[:64], y[:64], epochs=1, batch=64, rate=1e-3)
@@ -170,8 +204,47 @@ def test_secret_network_on_held_out_findings():
     assert loss(q) < loss(p)
 
 
-def test_secret_rows(docs, empty):
-    assert secrets.find_secrets(docs).count() == docs.count() and secrets.find_secrets(empty).count() == 0
+def test_secret_candidates():
+    text = 'pwd: hunter2hunter2 x ' + "1_" * 40 + "Z" * 30 + " token=abcdefgh12345678901234567890 9999999999999999999999 only-words-here-but-no-digit"
+    base = secrets.base_spans(text)
+    assert [text[a:b] for a, b, _ in secrets.candidates(text, base)] == ["hunter2hunter2", "1_" * 40 + "Z" * 30]
+    many = "a1" * 20 + " "
+    assert len(secrets.candidates(many * 20_000, [(k * 41, k * 41 + 3, "hex") for k in range(0, 20_000, 2)])) == 10_000  # linear
+    # every character of a long candidate is read
+    w = secrets.windows("x" * 30 + "y" * 500 + "z", (30, 530, "token"))
+    assert len(w) == 20 and w.shape[1] == secrets.WIDTH and all((row[secrets.BEFORE] == secrets._codes("y")[0]) for row in w)
+
+
+def test_secret_rows(spark, docs, empty):
+    assert secrets.find_secrets(empty).count() == 0
+    rng, alnum = random.Random(31), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words, keys, rows = vocabulary(31), {}, [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for i in range(1000, 1600):
+        lead, key = " ".join(rng.choice(words) for _ in range(40)), ""
+        if i % 3 == 0:  # a key that no base pattern knows, some of them far longer than one window
+            key = "".join(rng.choice(alnum) for _ in range(rng.choice([24, 40, 150])))
+            keys[i] = (len(lead) + 1, len(lead) + 1 + len(key))
+        rows.append((i, f"{lead} {key} {rng.choice(words)} é" + (' password = "abcdefgh1"' if i % 5 == 0 else "")))
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, t)
+    found = clean = 0
+    for r in got:
+        want = plain_secrets(text[r["doc_id"]] or "")
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for *_, k in want) for x in secrets.BASE]
+        base = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2]))))
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        spans = [s.split(":") for s in r["spans"].split(",")] if r["spans"] else []
+        assert r["n_spans"] == len(spans) and {(int(a), int(b), k) for k, a, b in spans} >= set(want)
+        assert spans == sorted(spans, key=lambda s: (int(s[1]), secrets.KINDS.index(s[0])))
+        tokens = {(int(a), int(b)) for k, a, b in spans if k == "token"}
+        if r["doc_id"] in keys:
+            found += keys[r["doc_id"]] in tokens
+        elif (r["doc_id"] or 0) >= 1000:
+            clean += not tokens
+    assert found >= 0.9 * len(keys) and clean == 600 - len(keys)
 
 
 # 3 sharding
@@ -208,13 +281,13 @@ def plain_distance_at_most_one(a, b):
 
 def test_lines(spark, docs, empty):
     rng, words = random.Random(6), vocabulary(6, 6)
-    base = [[rng.choice(words) for _ in range(rng.randint(4, 9))] for _ in range(12)]
+    base = [[rng.choice(words) for _ in range(rng.randint(1, 14))] for _ in range(24)]
     rows = []
-    for i in range(40):
+    for i in range(80):
         text = []
         for _ in range(rng.randint(0, 6)):
             x = list(rng.choice(base))
-            kind = rng.randint(0, 4)
+            kind = rng.randint(0, 4) if len(x) > 1 else 0
             if kind == 1:
                 x[rng.randrange(len(x))] = rng.choice(words)
             elif kind == 2:
@@ -231,12 +304,11 @@ def test_lines(spark, docs, empty):
             w = WORD.findall(x)
             first = next((b for b in before if b == w), None)
             gone = False
-            if len(w) >= 6:
-                if first is not None:
-                    exact, gone = exact + 1, True
-                elif any(plain_distance_at_most_one(w, b) for b in before):
-                    near, gone = near + 1, True
-                before.append(w)
+            if first is not None:
+                exact, gone = exact + bool(w), bool(w)
+            elif len(w) >= 6 and any(len(b) >= 6 and plain_distance_at_most_one(w, b) for b in before):
+                near, gone = near + 1, True
+            before.append(w)
             if not gone:
                 kept.append(x)
         want[i] = (exact, near, None if text is None else "\n".join(kept))
@@ -309,6 +381,17 @@ def test_pruning_rule_and_sketches():
     assert (shingles.shingle_set("A b C d E f") == shingles.shingle_set("a\tB\nc d e F")).all()
 
 
+def test_exact_bounds_of_what_two_sets_share():
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 2**62, 3000)
+    sets = [np.unique(np.concatenate([rng.choice(base, k, replace=False), rng.integers(0, 2**62, k // 4)])) for k in (20, 100, 130, 900, 1000, 2900)]
+    cells = neardup._Cells(pd.Series([neardup.cells_of(s).tobytes() for s in sets]))
+    for x in range(len(sets)):
+        most = cells.most_common(x, np.arange(len(sets)))
+        true = np.array([len(np.intersect1d(sets[x], s)) for s in sets])
+        assert (most >= true).all() and most[x] == len(sets[x])
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
@@ -361,16 +444,27 @@ def test_tokens_and_packing(docs, empty):
 
 
 def test_shortest_pack_first():
+    # the 2 goes on the 5, the shortest pack, though the 7 has the room that fits better
+    assert sorted(sorted(p) for p, _ in packing.shortest_pack_first({7: 1, 5: 1, 2: 1}, 10)) == [[(2, 1), (5, 1)], [(7, 1)]]
     rng = random.Random(11)
     for _ in range(200):
         h = {rng.randint(1, 2048): rng.randint(1, 200) for _ in range(rng.randint(1, 60))}
-        counts, packs = Counter(), 0
+        counts, packs, rooms = Counter(), 0, Counter()
+        # piece by piece: on the shortest pack, or a new one if that is too long
+        plain = []
+        for length in sorted(h, reverse=True):
+            for _ in range(h[length]):
+                if plain and -plain[0] >= length:
+                    heapq.heappush(plain, heapq.heappop(plain) + length)
+                else:
+                    heapq.heappush(plain, length - 2048)
         for pattern, n in packing.shortest_pack_first(h, 2048):
+            rooms[2048 - sum(a * b for a, b in pattern)] += n
             assert sum(a * b for a, b in pattern) <= 2048
             packs += n
             for length, fit in pattern:
                 counts[length] += fit * n
-        assert dict(counts) == h
+        assert dict(counts) == h and rooms == Counter(-x for x in plain)
         assert packs <= 1.3 * sum(a * b for a, b in h.items()) / 2048 + len(h) or max(h) > 1024
 
 
