@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import oracles
+from fleetlens.llm.alignment import align
 from fleetlens.llm.audio import features
 from fleetlens.llm.common import documents
 from fleetlens.llm.lines import dedup_lines
@@ -66,6 +67,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio": op1_audio,
     "op2_pii": op2_pii,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding": oracles.SHARDS,
