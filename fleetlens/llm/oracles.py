@@ -94,3 +94,32 @@ WITH coded AS (
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM coded LEFT JOIN cut USING (doc_id)
 """
+
+TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r FROM conversations WHERE conv_id IS NOT NULL
+), seqs AS (
+  SELECT conv_id, list(t ORDER BY r) AS s FROM turns GROUP BY conv_id
+), steps AS (
+  SELECT list(c ORDER BY i) AS step FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))
+), digits AS (
+  SELECT conv_id, s, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM seqs
+), planned AS (
+  SELECT conv_id, s, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % 4 AS BIGINT) AS h FROM digits, steps
+), built AS (
+  SELECT c.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(b.s, [])[1:h] ELSE [] END, c.s[h + 1:]) AS s FROM planned c LEFT JOIN seqs b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, len(s) AS n, s[d].text AS last, CASE WHEN d = 0 THEN [] ELSE s[1:d] END AS p FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS deepest, any_value(last) AS last, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d) AS ends FROM prefixes GROUP BY p, d
+), valued AS (
+  SELECT *, CAST(deepest = d AS BIGINT) AS leaf, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(last, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS saves FROM nodes
+), up AS (
+  SELECT u.conv_id, u.d, u.leaf, u.saves, a.p AS above, a.d AS depth FROM valued u JOIN prefixes a ON a.conv_id = u.conv_id AND a.d <= u.d
+), sums AS (
+  SELECT above AS p, depth AS d, sum(leaf) AS n_leaves, sum(saves) AS saved, count(*) FILTER (d = depth + 1) AS kids FROM up GROUP BY above, depth
+)
+SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, kids AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN sums s ON s.p = v.p AND s.d = v.d LEFT JOIN prefixes x ON x.conv_id = v.conv_id AND x.d = v.d - 1 LEFT JOIN nodes o ON o.p = x.p AND o.d = x.d
+"""

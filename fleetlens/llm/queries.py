@@ -20,6 +20,7 @@ from fleetlens.llm.quality import judged, learn_rules
 from fleetlens.llm.secrets import find_secrets
 from fleetlens.llm.sharding import shard_by_bytes
 from fleetlens.llm.substrings import remove_repeats
+from fleetlens.llm.trie import prefix_trie
 
 
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": oracles.LINES,
     "op5_near_duplicates": oracles.NEAR,
     "op10_suffix_dedup": oracles.REPEATS,
+    "op12_prefix_trie": oracles.TRIE,
 }
