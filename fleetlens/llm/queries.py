@@ -12,6 +12,7 @@ from fleetlens.llm.alignment import align
 from fleetlens.llm.audio import features
 from fleetlens.llm.common import documents
 from fleetlens.llm.lines import dedup_lines
+from fleetlens.llm.lm import katz_scores
 from fleetlens.llm.mixing import pareto_mix
 from fleetlens.llm.neardup import near_duplicates
 from fleetlens.llm.packing import pack
@@ -68,6 +69,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_katz": op11_katz,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_alignment": op13_alignment,
 }
