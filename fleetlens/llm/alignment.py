@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,15 @@ from fleetlens.llm.common import join_counted, stored
 from fleetlens.llm.packing import _byte_letters
 
 #: Tokens of one side that are looked at together; a longer document is looked at alone.
-TOGETHER = 1_000_000
+TOGETHER = 300_000
 #: Pairs of ids of which the counts are sent to every task: 17 bytes each.
 MOST_PAIRS = 4_000_000
 
 # Marks behind a word that may be parted from it, and the letter that stands for a space in pieces.
 _MARKS = ".,;:!?|#$%&*"
 _SPACE = "▁"
+# Fixed value: up to this letter the pattern of A and Python agree on what a letter is, whatever their versions.
+_LATIN = "\u024f"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 #: A space, not the last character, behind what no tokenizer takes for white space: neither joins tokens across it.
 _BREAK = re.compile(r"(?<=\S) (?!\Z)")
@@ -50,7 +53,7 @@ class _Pair:
     A always parts letters from marks and B has no piece of a letter and one of these marks.
     """
 
-    def __init__(self, a_path: str, b_path: str, most: int = 400_000) -> None:
+    def __init__(self, a_path: str, b_path: str, most: int = 500_000) -> None:
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -71,31 +74,54 @@ class _Pair:
         self.marks = "".join(m for m in _MARKS if self.breaks and not any(y == m and x.isalpha() for x, y in joins))
         # what stands behind an id in a document's text of groups, by id and kind of end
         self.ends = [f"{i}{e}" for size, ends in ((n_a, ",|"), (len(pieces), ",;")) for e in ends for i in range(size)]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
-        self.tails: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _encode(self, chunks: list[str], shift: str = "") -> list[tuple[bytes, bytes] | None]:
-        """Ids of chunks after `shift`, whose own ids are left out; None where the bytes are not the chunk's."""
-        lead = " " + shift
-        a = [x.ids for x in self.a.encode_batch_fast([lead + c for c in chunks], add_special_tokens=False)]
-        b = self.b.encode([shift + c for c in chunks], num_threads=1)
+        self.tokenize, self.letters = self.a.model.tokenize, _byte_letters()
+        #: Ids (little-endian 32-bit) by chunk, and the chunks whose bytes one side does not give back.
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.tails: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.bad: set[str] = set()
+
+    def _a_ids(self, chunks: list[str]) -> list[list[int]]:
+        """A's ids of each chunk after a space. Latin words go to its merges at once: they are one piece of its pattern."""
+        rest = [k for k, c in enumerate(chunks) if not (c.isalpha() and max(c) <= _LATIN)]
+        tokenize, letters, out = self.tokenize, self.letters, [None] * len(chunks)
+        for k, x in zip(rest, self.a.encode_batch_fast([" " + chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        space = letters[32]
+        for k, c in enumerate(chunks):
+            if out[k] is None:
+                out[k] = [t.id for t in tokenize(space + (c if c.isascii() else c.encode().decode("latin-1").translate(letters)))]
+        return out
+
+    def _learned(self, chunks: list[str], into: tuple[dict[str, bytes], dict[str, bytes]], shift: str = "") -> None:
+        """Ids of chunks after a space and `shift`, whose own ids are left out."""
         if shift:
-            cut_a, cut_b = len(self.a.encode(lead, add_special_tokens=False).ids), len(self.b.encode(shift))
+            a = [x.ids for x in self.a.encode_batch_fast([" " + shift + c for c in chunks], add_special_tokens=False)]
+            b = self.b.encode([shift + c for c in chunks], num_threads=1)
+            cut_a, cut_b = len(self.a.encode(" " + shift, add_special_tokens=False).ids), len(self.b.encode(shift))
             a, b = [x[cut_a:] for x in a], [x[cut_b:] for x in b]
-        out = []
-        for c, x, y in zip(chunks, a, b, strict=True):
-            want = ("" if shift else " ") + c
-            data = want.encode()
-            same = b"".join([self.a_bytes[i] for i in x]) == data == b"".join([self.b_bytes[i] for i in y])
-            out.append((np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if same else None)
-        return out
+        else:
+            a, b = self._a_ids(chunks), self.b.encode(chunks, num_threads=1)
+        want = [(c if shift else " " + c).encode() for c in chunks]
+        ends = np.cumsum([len(x) for x in want])
+        same = np.ones(len(chunks), bool)
+        for ids, names, size, out in ((a, self.a_bytes, self.a_size, into[0]), (b, self.b_bytes, self.b_size, into[1])):
+            upto = np.cumsum([len(x) for x in ids])
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", upto[-1])
+            data = flat.tobytes()
+            out.update(zip(chunks, [data[4 * i : 4 * j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)], strict=True))
+            placed = np.concatenate([[0], np.cumsum(size[flat])])[upto]
+            if not (np.array_equal(placed, ends) and b"".join(map(names.__getitem__, flat.tolist())) == b"".join(want)):
+                same &= [b"".join([names[i] for i in x]) == w for x, w in zip(ids, want, strict=True)]
+        self.bad.update(c for c, ok in zip(chunks, same, strict=True) if not ok)
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.words.clear()
+        known = self.known[0]
+        new = [c for c in chunks if c not in known]
+        if len(known) + len(new) > self.most:
+            for d in (*self.known, *self.words):
+                d.clear()
+            self.bad &= set(self.tails[0])
             new = list(chunks)
         parted, whole = {}, []
         for c in new:
@@ -104,37 +130,37 @@ class _Pair:
                 parted[c] = (word, c[len(word) :])
             else:
                 whole.append(c)
-        words = sorted({w for w, _ in parted.values()}.difference(self.words))
-        marks = sorted({m for _, m in parted.values()}.difference(self.tails))
-        for k in range(0, len(words), 10_000):
-            self.words.update(zip(words[k : k + 10_000], self._encode(words[k : k + 10_000]), strict=True))
-        if marks:
-            self.tails.update(zip(marks, self._encode(marks, "a"), strict=True))
-        for k in range(0, len(whole), 10_000):
-            self.known.update(zip(whole[k : k + 10_000], self._encode(whole[k : k + 10_000]), strict=True))
-        for c, (w, m) in parted.items():
-            x, y = self.words[w], self.tails[m]
-            self.known[c] = (x[0] + y[0], x[1] + y[1]) if x and y else None
+        todo = ((sorted({w for w, _ in parted.values()}.difference(self.words[0], known)), self.words, ""), (sorted({m for _, m in parted.values()}.difference(self.tails[0])), self.tails, "a"), (whole, self.known, ""))
+        for wanted, into, shift in todo:
+            for k in range(0, len(wanted), 10_000):
+                self._learned(wanted[k : k + 10_000], into, shift)
+        for side in (0, 1):
+            words, marks, out = self.words[side], self.tails[side], self.known[side]
+            out.update([(c, (words[w] if w in words else out[w]) + marks[m]) for c, (w, m) in parted.items()])
+        if self.bad:
+            self.bad.update(c for c, (w, m) in parted.items() if w in self.bad or (m in self.bad))
 
     def ids(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B for each text; both are empty where bytes differ, and for no text."""
-        split = []
-        for t in texts:
-            if not t or not self.breaks:
-                split.append([t] if t else [])
-                continue
-            parts = t.split(" ")
+        if self.breaks:
+            split = [t.split(" ") if t else [] for t in texts]
+            chunks = set().union(*split)
             # an empty part or white space before a space: the spaces that are no breaks stay
-            split.append(parts if "  " not in t and t[0] != " " and t[-1] != " " and not any(x[-1].isspace() for x in parts) else _BREAK.split(t))
-        self.learn({p for parts in split for p in parts})
+            if odd := {p for p in chunks if not p or p[-1].isspace()}:
+                split = [parts if odd.isdisjoint(parts) else _BREAK.split(t) if t else [] for t, parts in zip(texts, split, strict=True)]
+                chunks = set().union(*split)
+        else:
+            split = [[t] if t else [] for t in texts]
+            chunks = {t for t in texts if t}
+        self.learn(chunks)
+        a, b = (d.__getitem__ for d in self.known)
         none = np.zeros(0, np.int64)
         out = []
         for parts in split:
-            got = [self.known[p] for p in parts]
-            if not got or None in got:
+            if not parts or not self.bad.isdisjoint(parts):
                 out.append((none, none))
             else:
-                out.append(tuple(np.frombuffer(b"".join([g[side] for g in got]), "<u4").astype(np.int64) for side in (0, 1)))
+                out.append(tuple(np.frombuffer(b"".join(map(get, parts)), "<u4").astype(np.int64) for get in (a, b)))
         return out
 
 
