@@ -1,8 +1,9 @@
-"""The table store: six Parquet tables partitioned by date, appends, evolution by added columns, and retention."""
+"""The table store: six Parquet tables by date behind a commit log, with appends, added columns, retention and compaction."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.timeutil import time_filter
-from fleetlens.schemas import TABLES
+from fleetlens.operators.commits import Conflict, Log, ReplacedWriter
+from fleetlens.schemas import SCHEMAS
 
 
 def fresh(df: DataFrame, now: datetime | str, max_age_seconds: int) -> DataFrame:
@@ -36,93 +38,142 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: What searches ask for: files are sorted by it when they are put together, and have bloom filters on it.
+SOUGHT: dict[str, tuple[str, ...]] = {"logs": ("unit", "identifier"), "processes": ("name",), "containers": ("vmid",), "container_metrics": ("vmid",)}
+TARGET_BYTES = 128 << 20
+
+
+def bins(files: Iterable[tuple[str, str, int]], target: int) -> list[list[tuple[str, str, int]]]:
+    """Files (path, date, bytes) of one date each put into as few groups as first fit, largest first, needs; single files are left out."""
+    out: list[list[tuple[str, str, int]]] = []
+    by_date: dict[str, list[tuple[str, str, int]]] = {}
+    for f in files:
+        if f[2] < target:
+            by_date.setdefault(f[1], []).append(f)
+    for date in sorted(by_date):
+        open_: list[tuple[int, list[tuple[str, str, int]]]] = []
+        for f in sorted(by_date[date], key=lambda x: (-x[2], x[0])):
+            k = next((k for k, (size, _) in enumerate(open_) if size + f[2] <= target), None)
+            if k is None:
+                open_.append((f[2], [f]))
+            else:
+                open_[k] = (open_[k][0] + f[2], [*open_[k][1], f])
+        out += [files for _, files in open_ if len(files) > 1]
+    return out
+
+
 @dataclass(frozen=True)
 class Store:
+    """The six tables, and one of dead letters, below `root`. `step` is told what a run is about to do, so that tests can end it there."""
+
     spark: SparkSession
     root: str
+    step: Callable[[str], None] = lambda name: None
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    def log(self, table: str) -> Log:
+        return Log(self.spark, self.path(table), "date", self.step)
+
     def create(self) -> None:
         """Makes the tables that are absent."""
-        for name, schema in TABLES.items():
-            self.spark.createDataFrame([], schema).withColumn("batch", F.lit("")).write.mode("ignore").partitionBy("date", "batch").parquet(self.path(name))
+        for name in SCHEMAS:
+            log = self.log(name)
+            if not log.snapshot().version:
+                log.commit("create")
 
-    def read(self, table: str) -> DataFrame:
-        """The table; files written before a column was added give null for it."""
-        schema = T.StructType([*TABLES[table], T.StructField("batch", T.StringType())])
-        return self.spark.read.option("mergeSchema", "true").schema(schema).parquet(self.path(table)).drop("batch")
+    def read(self, table: str, since: datetime | str | None = None, until: datetime | str | None = None, version: int | None = None) -> DataFrame:
+        """The table as it is now, or as it was after a commit; files written before a column was added give null for it.
 
-    def append(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
-        """Appends one tick's rows; columns are matched by name, missing ones are null, date follows timestamp.
+        Bounds on time leave out files of other dates before Spark sees them; rows are filtered, too. What the frame
+        reads stays the same whatever is committed afterwards, until vacuum() deletes replaced files.
+        """
+        log = self.log(table)
+        files = log.live(log.snapshot(version), since and str(since)[:10], until and str(until)[:10])
+        return time_filter(log.read([path for path, _, _ in files], SCHEMAS[table]), since, until)
+
+    def append(self, table: str, rows: DataFrame, stream: str | None = None, number: int = -1, epoch: int = 0) -> bool:
+        """Appends one tick's rows in one commit; columns are matched by name, missing ones are null, date follows timestamp.
 
-        Rows lie in a folder for each date and batch. A batch that is written again, as a stream does after a failure,
-        takes its own place again, so that its rows are there once; without a name every call is a batch of its own.
+        A stream's batch that is there already, as after a failure, is left out, also if its rows have been compacted
+        or have aged out since: False. A row without host or time is an error, and nothing of its batch is written.
         """
+        log = self.log(table)
+        if stream is not None:
+            now = log.snapshot()
+            if now.epoch(stream) > epoch:
+                raise ReplacedWriter(f"{stream}: epoch {epoch} was replaced by {now.epoch(stream)}")
+            if number <= now.last(stream):
+                return False
         have = set(rows.columns)
-        cols = [F.col("timestamp").cast("date").alias("date") if f.name == "date" else (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in TABLES[table]]
-        out = rows.select(*cols, F.lit(batch or uuid.uuid4().hex).alias("batch"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(self.path(table))
+        bad = F.raise_error(F.lit(f"{table}: a row without host or time"))
+        whole = F.col("host").isNotNull() & F.col("timestamp").isNotNull()
+        cols = [F.when(whole, F.col("timestamp").cast("date")).otherwise(bad).alias("date") if f.name == "date" else (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMAS[table]]
+        add = log.write(rows.select(*cols), self._options(table))
+        return log.commit("append", add, stream=stream, number=number, epoch=epoch) is not None
 
     def views(self) -> None:
-        for name in TABLES:
+        for name in SCHEMAS:
             self.read(name).createOrReplaceTempView(name)
 
-    def retain(self, now: datetime, max_age: timedelta) -> None:
-        """Drops what is older than max_age: whole dates by their folder, and the boundary date by one rewrite.
-
-        The rewrite stands complete beside the table before the old folder goes. A run that was cut off between is
-        finished by the next one. Not to be run together with appends to the boundary date.
-        """
+    def retain(self, now: datetime, max_age: timedelta, tries: int = 10) -> None:
+        """Drops what is older than max_age, beside appends and compaction: whole dates by the log alone, the boundary date by one rewrite."""
         cut = now - max_age
-        files = _Files(self.spark)
-        for name in TABLES:
-            aside = f"{self.root.rstrip('/')}/_retained-{name}"
-            for left in files.folders(aside):
-                self._put(files, f"{aside}/{left}", f"{self.path(name)}/{left}")
-            for day in files.folders(self.path(name)):
-                if day.startswith("date=") and len(day) == 15 and day[5:] < f"{cut:%Y-%m-%d}":
-                    files.delete(f"{self.path(name)}/{day}")
-            edge = f"date={cut:%Y-%m-%d}"
-            if edge in files.folders(self.path(name)):
-                rows = time_filter(self.read(name), cut, f"{cut:%Y-%m-%d} 23:59:59.999999").drop("date")
-                rows.withColumn("batch", F.lit("retained")).write.mode("overwrite").partitionBy("batch").parquet(f"{aside}/{edge}")
-                self._put(files, f"{aside}/{edge}", f"{self.path(name)}/{edge}")
+        day = f"{cut:%Y-%m-%d}"
+        for name in SCHEMAS:
+            log = self.log(name)
+            for _ in range(tries):
+                files = log.live(log.snapshot(), until=day)
+                edge = [f for f in files if f[1] == day]
+                rows = log.read([path for path, _, _ in edge], SCHEMAS[name])
+                old = F.col("timestamp") < F.lit(str(cut)).cast("timestamp_ntz")
+                if not edge or rows.filter(old).isEmpty():
+                    edge = []
+                remove = [f for f in files if f[1] < day] + edge
+                if not remove:
+                    break
+                try:
+                    log.commit("retain", log.write(rows.filter(~old), self._options(name)) if edge else [], remove)
+                    break
+                except Conflict:  # compacted meanwhile: begin again
+                    continue
+            else:
+                raise Conflict(f"{name}: others kept replacing files")
+
+    def compact(self, table: str, target: int = TARGET_BYTES, since: datetime | str | None = None, until: datetime | str | None = None, most: int = 10_000) -> int:
+        """Puts small files of each date together, up to `target` bytes, and gives how many went; readers and appends go on.
+
+        At most `most` files go in one commit, so that what a run that is cut off has done stays. Where retention took one of the
+        files meanwhile, that commit is left out; the next run looks again.
+        """
+        log, gone = self.log(table), 0
+        todo = bins(log.live(log.snapshot(), since and str(since)[:10], until and str(until)[:10]), target)
+        while todo:
+            part = [todo.pop()]
+            while todo and sum(map(len, part)) + len(todo[-1]) <= most:
+                part.append(todo.pop())
+            files = [f for group in part for f in group]
+            number = self.spark.createDataFrame([(path, k) for k, group in enumerate(part) for path, _, _ in group], "_path string, _bin int")
+            # the metadata has to be asked for before the column of the commit is dropped
+            paths = [f"{log.root}/data/{path}" for path, _, _ in files]
+            schema = T.StructType([*SCHEMAS[table], T.StructField("commit", T.StringType())])
+            rows = self.spark.read.schema(schema).option("basePath", f"{log.root}/data").parquet(*paths)
+            rows = rows.withColumn("_path", F.regexp_extract(F.col("_metadata.file_path"), "/data/(commit=.*)$", 1)).drop("commit").join(F.broadcast(number), "_path")
+            order = [*SOUGHT.get(table, ()), "host", "timestamp"]
+            packed = rows.repartitionByRange(len(part), "_bin").sortWithinPartitions("date", *order).drop("_path", "_bin")
+            try:
+                log.commit("compact", log.write(packed, self._options(table)), files)
+                gone += len(files)
+            except Conflict:
+                continue
+        return gone
+
+    def vacuum(self, before: datetime) -> None:
+        """Deletes what no reader or writer that began after `before` (UTC) can want; see Log.vacuum."""
+        for name in SCHEMAS:
+            self.log(name).vacuum(before)
 
     @staticmethod
-    def _put(files: _Files, kept: str, edge: str) -> None:
-        """Moves a rewritten date into its place; one that was not written to its end is dropped."""
-        if files.exists(f"{kept}/_SUCCESS"):
-            files.delete(edge)
-            if any(x.startswith("batch=") for x in files.folders(kept)):
-                files.delete(f"{kept}/_SUCCESS")
-                files.rename(kept, edge)
-        files.delete(kept)
-
-
-class _Files:
-    """The few operations on whole folders that the DataFrame writer has not, on whatever file system a path names."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _at(self, path: str):
-        p = self.jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.conf), p
-
-    def exists(self, path: str) -> bool:
-        fs, p = self._at(path)
-        return fs.exists(p)
-
-    def folders(self, path: str) -> list[str]:
-        fs, p = self._at(path)
-        return sorted(e.getPath().getName() for e in fs.listStatus(p) if e.isDirectory()) if fs.exists(p) else []
-
-    def delete(self, path: str) -> None:
-        fs, p = self._at(path)
-        fs.delete(p, True)
-
-    def rename(self, a: str, b: str) -> None:
-        fs, p = self._at(a)
-        fs.rename(p, self._at(b)[1])
+    def _options(table: str) -> dict[str, str]:
+        return {f"parquet.bloom.filter.enabled#{c}": "true" for c in SOUGHT.get(table, ())}

@@ -15,7 +15,7 @@ from fleetlens.functions.timeutil import time_filter
 from fleetlens.operators import benchstats, derive, joins, payload, store
 from fleetlens.operators import select as sel
 from fleetlens.plans import sqlapi
-from fleetlens.sources import captures, export, inventory, logs, synth
+from fleetlens.sources import captures, export, inventory, logs, synth, tail
 from fleetlens.sources.fixtures import duck, view
 from fleetlens.streaming import jobs
 
@@ -596,18 +596,23 @@ def table_counts(spark, d):
     return store.table_counts({k: view(spark, d, v) for k, v in _COUNTED.items()})
 
 
-def _filled(spark: SparkSession, d: str) -> store.Store:
-    """A new store with the views' rows in its six tables, in two appends each; the first half again, as after a failure."""
+def _halves(spark: SparkSession, d: str, name: str, parts: int = 2) -> list[DataFrame]:
+    """A view's rows as a table's, dealt into parts by a hash."""
+    rows = view(spark, d, _COUNTED[name])
+    if "timestamp" not in rows.columns:
+        rows = rows.withColumns({"timestamp": F.lit(NOW).cast("timestamp_ntz"), "host": F.concat(F.lit("host-"), (F.col("vmid") % 16).cast("string"))})
+    key = {"metrics": "seq", "processes": "pid", "disks": "used_bytes", "logs": "seq", "containers": "vmid", "container_metrics": "vmid"}[name]
+    return [rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _filled(spark: SparkSession, d: str, tables: tuple[str, ...] = tuple(_COUNTED)) -> store.Store:
+    """A new store with the views' rows in its tables, in two batches of a stream each; the first batch again, as after a failure."""
     made = store.Store(spark, store.scratch(spark, "store"))
     made.create()
-    for name, source in _COUNTED.items():
-        rows = view(spark, d, source)
-        if "timestamp" not in rows.columns:
-            rows = rows.withColumns({"timestamp": F.lit(NOW).cast("timestamp_ntz"), "host": F.concat(F.lit("host-"), (F.col("vmid") % 16).cast("string"))})
-        key = {"metrics": "seq", "processes": "pid", "disks": "used_bytes", "logs": "seq", "containers": "vmid", "container_metrics": "vmid"}[name]
-        half = F.pmod(F.xxhash64(key), F.lit(2))
-        for part in (0, 1, 0):
-            made.append(name, rows.filter(half == part), f"part-{part}")
+    for name in tables:
+        halves = _halves(spark, d, name)
+        for k in (0, 1, 0):
+            made.append(name, halves[k], "ticks", k)
     return made
 
 
@@ -642,13 +647,56 @@ def store_retain(spark, d):
     return _summed(made)
 
 
+_LOG_ROWS = "host, CAST(timestamp AS TIMESTAMP) AS timestamp, seq, source, unit, identifier, systemd_unit, priority, message, pid"
+
+
+def _log_rows(made: store.Store) -> DataFrame:
+    return made.read("logs").drop("date")
+
+
+@query(duck("fx_logs") + f" SELECT {_LOG_ROWS} FROM fx_logs")
+def store_replay(spark, d):
+    """The rows themselves of a table whose stream was run twice from its first batch on, by two runs."""
+    made = store.Store(spark, store.scratch(spark, "replay"))
+    made.create()
+    parts = _halves(spark, d, "logs", 3)
+    for _ in range(2):
+        epoch = made.log("logs").begin("ticks")
+        for k, rows in enumerate(parts):
+            made.append("logs", rows, "ticks", k, epoch)
+    return _log_rows(made)
+
+
+@query(duck("fx_logs") + f" SELECT {_LOG_ROWS} FROM fx_logs WHERE timestamp >= TIMESTAMP '{SINCE}'")
+def store_retain_then_replay(spark, d):
+    """Batches that come again after retention and compaction bring nothing back."""
+    made = _filled(spark, d, ("logs",))
+    made.retain(datetime.fromisoformat(NOW), datetime.fromisoformat(NOW) - datetime.fromisoformat(SINCE))
+    made.compact("logs")
+    for k, rows in enumerate(_halves(spark, d, "logs")):
+        made.append("logs", rows, "ticks", k)
+    return _log_rows(made)
+
+
+@query(duck("fx_logs") + " SELECT CAST(timestamp AS DATE) AS date, count(*) AS rows, count(DISTINCT host) AS hosts, CAST(sum(seq) AS BIGINT) AS numbers, 1 AS files, TRUE AS smaller FROM fx_logs GROUP BY 1")
+def store_compact(spark, d):
+    """Dates after compaction: their rows, and how many files they have against how many they had."""
+    made = _filled(spark, d, ("logs",))
+    log = made.log("logs")
+    before = log.listing(log.snapshot()).groupBy(F.col("part").alias("_part")).agg(F.count("*").alias("_before"))
+    made.compact("logs")
+    after = log.listing(log.snapshot()).groupBy(F.col("part").alias("_part")).agg(F.count("*").cast("int").alias("files"))
+    rows = made.read("logs").groupBy("date").agg(F.count("*").alias("rows"), F.countDistinct("host").alias("hosts"), F.sum("seq").alias("numbers"))
+    files = after.join(before, "_part").select(F.to_date("_part").alias("date"), "files", (F.col("files") < F.col("_before")).alias("smaller"))
+    return rows.join(files, "date")
+
+
 @query(duck("fx_logs") + " SELECT count(*) AS rows, count(CASE WHEN seq % 2 = 0 THEN identifier END) AS identifiers, count(CASE WHEN seq % 2 = 0 THEN systemd_unit END) AS units FROM fx_logs")
 def store_evolve(spark, d):
     made = store.Store(spark, store.scratch(spark, "evolve"))
-    rows = view(spark, d, "fx_logs")
+    rows, log = view(spark, d, "fx_logs"), made.log("logs")
     # files from before two columns were added
-    old = rows.filter("seq % 2 <> 0").drop("identifier", "systemd_unit").withColumns({"date": F.to_date("timestamp"), "batch": F.lit("old")})
-    old.write.partitionBy("date", "batch").parquet(made.path("logs"))
+    log.commit("append", log.write(rows.filter("seq % 2 <> 0").drop("identifier", "systemd_unit").withColumn("date", F.to_date("timestamp"))))
     made.append("logs", rows.filter("seq % 2 = 0"))
     return made.read("logs").agg(F.count("*").alias("rows"), F.count("identifier").alias("identifiers"), F.count("systemd_unit").alias("units"))
 
@@ -684,6 +732,50 @@ def stream_documents(spark, d):
     return store.table_counts({name: made.read(name) for name in _DOCUMENT_PARTS})
 
 
+#: Kinds of documents that cannot be taken apart, by the last digit of a number.
+_BROKEN = {1: ("not JSON", "'{\"host\":' || props"), 3: ("no time", "'{\"host\":\"h\"}'"), 5: ("not an object", "'[' || event_id || ']'"), 7: ("empty", "''"), 9: ("no host", "'{\"metrics\":{\"timestamp\":\"2024-01-01T00:00:00.000000\"}}'")}
+
+
+@query(f"""WITH hosts AS (SELECT DISTINCT 'host-' || CAST(user_id % 16 AS VARCHAR) AS host FROM events)
+SELECT 'metrics' AS table_name, host, NULL AS reason, count(*) AS rows FROM hosts GROUP BY host
+UNION ALL SELECT 'dead_letters', 'host-' || CAST(user_id % 16 AS VARCHAR), CASE event_id % 10 {" ".join(f"WHEN {k} THEN '{reason}'" for k, (reason, _) in _BROKEN.items())} END, count(*) FROM events WHERE event_id % 2 = 1 GROUP BY ALL""")
+def stream_dead_letters(spark, d):
+    """Every host drops its document among broken ones: what comes in is in a table or a dead letter with its reason."""
+    base = store.scratch(spark, "dead")
+    doc = _payload(spark, d)
+    case = " ".join(f"WHEN {k} THEN {text}" for k, (_, text) in _BROKEN.items())
+    broken = table(spark, d, "events").filter("event_id % 2 = 1").selectExpr(f"CASE event_id % 10 {case} END AS value", "'host-' || user_id % 16 AS host")
+    good = payload.to_document(doc).select(F.col("document").alias("value"), "host")
+    good.unionByName(broken).repartition("host").write.partitionBy("host").text(f"{base}/in")
+    made = store.Store(spark, f"{base}/store")
+    made.create()
+    streams = jobs.document_streams(spark, f"{base}/in", doc.schema)
+    for q in jobs.append_all({k: streams[k] for k in ("metrics", "dead_letters")}, made, f"{base}/checkpoint", every=None).values():
+        q.awaitTermination()
+    parts = [made.read(name).select(F.lit(name).alias("table_name"), F.regexp_replace("host", "^host=", "").alias("host"), reason.alias("reason")) for name, reason in (("metrics", F.lit(None).cast("string")), ("dead_letters", F.col("reason")))]
+    return parts[0].unionAll(parts[1]).groupBy("table_name", "host", "reason").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT 'host-' || CAST(user_id % 16 AS VARCHAR) AS host, props AS message, count(*) AS rows, TRUE AS bounded, TRUE AS numbered FROM events GROUP BY ALL")
+def stream_tail(spark, d):
+    """Lines of files that are written to, a bounded number in each batch, over a restart in the middle."""
+    base = store.scratch(spark, "tail")
+    table(spark, d, "events").select(F.col("props").alias("value"), F.concat(F.lit("host-"), (F.col("user_id") % 16).cast("string")).alias("host")).repartition("host").write.partitionBy("host").text(f"{base}/in")
+    made = store.Store(spark, f"{base}/store")
+    made.create()
+    most = 25_000
+    for _ in range(2):
+        lines = tail.growing_lines(spark, f"{base}/in", f"{base}/checkpoint/tail", rows=most, start="beginning")
+        q = jobs.append(logs.file_lines(lines, F.current_timestamp()), made, "logs", f"{base}/checkpoint", every="0 seconds")
+        q.processAllAvailable()
+        within = all(p["numInputRows"] <= most for p in q.recentProgress)
+        q.stop()
+    rows = made.read("logs")
+    # numbers are those from 0 to one less than there are lines, each once
+    numbered = rows.agg((F.count("*") == F.countDistinct("seq")) & (F.max("seq") == F.count("*") - 1)).first()[0]
+    return rows.groupBy(F.regexp_replace("host", "^host=", "").alias("host"), "message").agg(F.count("*").alias("rows")).withColumns({"bounded": F.lit(within), "numbered": F.lit(numbered)})
+
+
 # Exports of the other listings
 
 

@@ -21,5 +21,8 @@ TABLES: dict[str, T.StructType] = {
     "container_metrics": _table(("vmid", I), ("cpu_pct", D), ("mem_current", L), ("mem_max", L)),
 }
 
+#: Documents that could not be taken apart, with the reason and where they stood; `timestamp` is when they were met.
+SCHEMAS: dict[str, T.StructType] = TABLES | {"dead_letters": _table(("path", S), ("seq", L), ("reason", S), ("document", S))}
+
 #: A text snapshot of one file that a host's collector reads.
 RAW_CAPTURE = T.StructType([T.StructField("host", S), T.StructField("timestamp", T.TimestampNTZType()), T.StructField("path", S), T.StructField("content", S)])

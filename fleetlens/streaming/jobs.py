@@ -6,7 +6,8 @@ files are dropped; maxFilesPerTrigger bounds a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from fleetlens.operators.payload import flattened
+from fleetlens.operators.commits import Files
+from fleetlens.operators.payload import checked, dead_letters, flattened
 from fleetlens.operators.store import Store
+from fleetlens.schemas import SCHEMAS
 from fleetlens.sources import logs
 
 #: How long a key's last sample is kept without a new one.
@@ -28,13 +31,16 @@ RATES = T.StructType([T.StructField("host", T.StringType()), T.StructField("vmid
 def lines(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """Lines of text files as they come: host (the folder below `folder`), path, seq and value.
 
-    seq orders lines by their file's time and then by their number in it. A file is read as one value, so shippers
-    close files at a bounded size, of less than a million lines; maxFilesPerTrigger bounds what a batch drains.
+    seq orders lines by the second of their file, then by a hash of its path, then by their number in it. A file is
+    read as one value, so shippers close files at a bounded size, of less than a million lines; maxFilesPerTrigger
+    bounds what a batch drains. sources.tail is the source for files that are still written to.
     """
     text = spark.readStream.option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    path, millis = F.col("_metadata.file_path"), F.unix_millis(F.col("_metadata.file_modification_time"))
+    path, seconds = F.col("_metadata.file_path"), F.unix_seconds(F.col("_metadata.file_modification_time"))
+    # 31 bits of seconds and 12 of the path above 20 of the line
+    file = seconds * 2**12 + F.pmod(F.xxhash64(path), F.lit(2**12))
     numbered = F.transform(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n"), lambda x, i: F.struct(i.alias("n"), x.alias("value")))
-    split = text.select(path.alias("path"), millis.alias("_t"), F.explode(numbered).alias("x"))
+    split = text.select(path.alias("path"), file.alias("_t"), F.explode(numbered).alias("x"))
     return split.select("x.value", "path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("host"), (F.col("_t") * 2**20 + F.col("x.n")).alias("seq"))
 
 
@@ -47,27 +53,57 @@ def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> Da
 
 
 def document_streams(spark: SparkSession, folder: str, schema: T.StructType, per_trigger: int = 1000) -> dict[str, DataFrame]:
-    """Rows of the six tables out of the documents that hosts drop, one in a line; each is a stream of its own."""
-    documents = lines(spark, folder, per_trigger).select(F.col("value").alias("document"))
-    return flattened(documents, schema)
+    """Rows of the six tables out of the documents that hosts drop, one in a line, and dead letters; each is a stream of its own."""
+    documents = lines(spark, folder, per_trigger).withColumnRenamed("value", "document")
+    return flattened(documents, schema) | {"dead_letters": dead_letters(documents, schema).withColumn("timestamp", F.current_timestamp().cast("timestamp_ntz"))}
 
 
-def append(rows: DataFrame, store: Store, table: str, checkpoint: str, every: str | None = "10 seconds", source: str = "stream") -> StreamingQuery:
+def replay(store: Store, schema: T.StructType, repair: Callable[[DataFrame], DataFrame] = lambda d: d, version: int | None = None) -> int:
+    """Takes dead letters apart again, once `repair` has changed their documents or the schema has grown; gives the version replayed.
+
+    What is still wrong stays a dead letter. A replay that was cut off is finished by another one of the same version.
+    """
+    log = store.log("dead_letters")
+    now = log.snapshot(version)
+    files = log.live(now)
+    if not files:
+        return now.version
+    documents = repair(store.read("dead_letters", version=now.version))
+    for name, rows in flattened(documents, schema).items():
+        store.append(name, rows, "replay", now.version)
+    still = checked(documents, schema).filter("reason IS NOT NULL").select(*[f.name for f in SCHEMAS["dead_letters"]])
+    log.commit("replay", log.write(still), files)
+    return now.version
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """A stream's name, which lies in its checkpoint and is made with it: a stream that lost its checkpoint is another one."""
+    files, path = Files(spark), f"{checkpoint}/stream-id"
+    files.write_new(path, uuid.uuid4().hex)
+    return files.read(path).strip()
+
+
+def append(rows: DataFrame, store: Store, table: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
     """Appends each batch to a table; every=None works off what is there and stops.
 
-    A batch is named by source and its number: one that is run again after a failure replaces itself. Sources that
-    write to one table have names of their own.
+    A batch is one commit under the stream's name and the batch's number, so one that is run again after a failure is
+    there once, whatever retention or compaction did meanwhile. A run that starts takes the stream over from one that still goes.
     """
+    at = f"{checkpoint}/{table}"
+    stream = stream_id(rows.sparkSession, at)
+    epoch = store.log(table).begin(stream)
+
     def write(batch: DataFrame, number: int) -> None:
-        store.append(table, batch, f"{source}-{number}")
+        if not store.append(table, batch, stream, number, epoch):
+            batch.write.format("noop").mode("overwrite").save()  # keyed state, if there is any, has to move on
 
-    out = rows.writeStream.queryName(f"append-{source}-{table}").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{table}")
+    out = rows.writeStream.queryName(f"append-{table}-{stream[:8]}").foreachBatch(write).option("checkpointLocation", f"{at}/spark")
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
-def append_all(tables: dict[str, DataFrame], store: Store, checkpoint: str, every: str | None = "10 seconds", source: str = "stream") -> dict[str, StreamingQuery]:
+def append_all(tables: dict[str, DataFrame], store: Store, checkpoint: str, every: str | None = "10 seconds") -> dict[str, StreamingQuery]:
     """One query for each table; one that fails leaves the others running."""
-    return {name: append(rows, store, name, checkpoint, every, source) for name, rows in tables.items()}
+    return {name: append(rows, store, name, checkpoint, every) for name, rows in tables.items()}
 
 
 class ContainerRates(StatefulProcessor):

@@ -275,37 +275,6 @@ def test_store(spark, tmp_path):
     assert [r["cpu_percent"] for r in store.read("metrics").collect()] == [4.0]
 
 
-def test_a_batch_that_is_written_again_replaces_itself(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    store.create()
-    rows = frame(spark, [("h", at(i * 50_000), float(i)) for i in range(4)], "host string, timestamp timestamp_ntz, cpu_percent float")
-    for _ in range(2):
-        store.append("metrics", rows, "s-0")
-    store.append("metrics", rows, "s-1")
-    store.append("metrics", rows)
-    store.append("metrics", rows)
-    assert store.read("metrics").count() == 16 and store.read("metrics").columns == [f.name for f in TABLES["metrics"]]
-
-
-def test_retention_that_was_cut_off_is_finished(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    store.create()
-    rows = frame(spark, [("h", at(86400 + 5), 1.0), ("h", at(86400 + 50), 2.0), ("h", at(86400 * 2), 3.0)], "host string, timestamp timestamp_ntz, cpu_percent float")
-    store.append("metrics", rows)
-    # the rewrite of the boundary date is complete, and its old folder is gone already
-    kept = store.read("metrics").filter(F.col("timestamp") >= F.lit(at(86400 + 40))).filter("date = DATE'2024-01-02'").drop("date")
-    kept.withColumn("batch", F.lit("retained")).write.partitionBy("batch").parquet(str(tmp_path / "_retained-metrics" / "date=2024-01-02"))
-    shutil.rmtree(tmp_path / "metrics" / "date=2024-01-02")
-    store.retain(at(86400 + 45), timedelta(seconds=5))
-    assert sorted(r["cpu_percent"] for r in store.read("metrics").collect()) == [2.0, 3.0]
-    # one that was not written to its end is dropped, and the date is rewritten from what the table has
-    kept = tmp_path / "_retained-metrics" / "date=2024-01-02"
-    kept.mkdir(parents=True)
-    (kept / "part").write_text("half")
-    store.retain(at(86400 + 45), timedelta(seconds=5))
-    assert sorted(r["cpu_percent"] for r in store.read("metrics").collect()) == [2.0, 3.0] and not kept.exists()
-
-
 def test_all_six_tables(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.create()
@@ -332,7 +301,8 @@ def test_added_columns(spark, tmp_path):
     """Files from before two log columns were added read as null there."""
     store = Store(spark, str(tmp_path))
     old = frame(spark, [("h", at(0), "s", "u", 4, "m")], "host string, timestamp timestamp_ntz, source string, unit string, priority int, message string")
-    old.withColumns({"date": F.col("timestamp").cast("date"), "batch": F.lit("old")}).write.partitionBy("date", "batch").parquet(store.path("logs"))
+    log = store.log("logs")
+    log.commit("append", log.write(old.withColumn("date", F.col("timestamp").cast("date"))))
     store.append("logs", old.withColumn("identifier", F.lit("i")))
     assert sorted((r["identifier"] or "") for r in store.read("logs").collect()) == ["", "i"]
 
