@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from fleetlens.functions import scalars
 from fleetlens.functions.timeutil import time_filter
-from fleetlens.operators import benchstats, derive, joins, payload, store
+from fleetlens.operators import benchstats, derive, joins, newest, payload, store
 from fleetlens.operators import select as sel
 from fleetlens.plans import sqlapi
 from fleetlens.sources import captures, export, inventory, logs, synth, tail
@@ -390,7 +390,7 @@ def cgroup_parse(spark, d):
 _CGROUP = "CASE CAST({k} % 4 AS INT) WHEN 0 THEN '0::/lxc/' || CAST({k} AS STRING) || '/ns' WHEN 1 THEN '5:cpu:/lxc.payload.' || CAST({k} AS STRING) || '/x' WHEN 2 THEN '0::/my-lxc/' || CAST({k} AS STRING) || '/' ELSE '0::/user.slice' END"
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN CAST(c_custkey AS INT) END AS vmid FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN c_custkey END AS vmid FROM customer")
 def cgroup_vmid(spark, d):
     return table(spark, d, "customer").select("c_custkey", captures.cgroup_vmid(F.expr(_CGROUP.format(k="c_custkey"))).alias("vmid"))
 
@@ -473,7 +473,7 @@ for _name, _limit in (("truncate_utf8", 4096), ("cap_text", 256)):
 # Payload
 
 
-@query(duck("fx_processes") + f" SELECT host, pid, name, cpu_percent, mem_rss, CAST(row_number() OVER (PARTITION BY host ORDER BY {CPU_ORDER}) AS INT) AS rank FROM fx_processes QUALIFY rank <= 25")
+@query(duck("fx_processes") + f" SELECT host, pid, name, cpu_percent, mem_rss, CAST(row_number() OVER (PARTITION BY host ORDER BY {CPU_ORDER}) AS INT) AS rank FROM {NEWEST} QUALIFY rank <= 25")
 def payload_top_processes(spark, d):
     return payload.top_processes(view(spark, d, "fx_processes")).select("host", "pid", "name", "cpu_percent", "mem_rss", "rank")
 
@@ -543,7 +543,7 @@ LAST_METRICS = "(SELECT * FROM fx_metrics QUALIFY row_number() OVER (PARTITION B
 @query(
     duck("fx_metrics")
     + """, h AS (SELECT host, count(*) AS n FROM fx_metrics GROUP BY host)
-SELECT host, CASE n % 3 WHEN 0 THEN 'container' WHEN 1 THEN 'host' ELSE 'none' END AS kind, CASE WHEN n % 3 = 1 THEN host END AS node, CASE WHEN n % 3 = 1 THEN 'v8' END AS version, CASE WHEN n % 3 = 0 THEN CAST(n AS INT) END AS vmid FROM h"""
+SELECT host, CASE n % 3 WHEN 0 THEN 'container' WHEN 1 THEN 'host' ELSE 'none' END AS kind, CASE WHEN n % 3 = 1 THEN host END AS node, CASE WHEN n % 3 = 1 THEN 'v8' END AS version, CASE WHEN n % 3 = 0 THEN n END AS vmid FROM h"""
 )
 def payload_runtime(spark, d):
     return _payload(spark, d).select("host", "runtime.*")
@@ -779,39 +779,117 @@ def stream_tail(spark, d):
 # Exports of the other listings
 
 
-@query(duck("fx_metrics") + """ SELECT seq, '{"host":"' || host || '","seq":' || seq || ',"mem_total":' || mem_total || ',"mem_used":' || mem_used || ',"swap_total":' || swap_total || '}' AS line FROM fx_metrics""")
+def _decimals(x: str) -> str:
+    """SQL for a share in percent with two decimals, as text."""
+    return f"CAST(floor(coalesce({x}, 0) * 100 + 0.5) AS BIGINT) // 100 || '.' || lpad(CAST(CAST(floor(coalesce({x}, 0) * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0')"
+
+
+_TEXTS = ("name", "cmdline", "state", "username", "mount_point", "filesystem")
+
+
+def _json_sql(columns: tuple[str, ...], first: str = "") -> str:
+    """SQL for a JSON object of the columns; texts of the views need no escapes."""
+    value = lambda c: _decimals(c) if c in export.DECIMALS else f"coalesce('\"' || {c} || '\"', 'null')" if c in _TEXTS else f"coalesce(CAST({c} AS VARCHAR), 'null')"
+    return "'{' || " + first + " || ',' || ".join(f"'\"{c}\":' || {value(c)}" for c in columns) + " || '}'"
+
+
+def _csv_sql(columns: tuple[str, ...]) -> str:
+    return " || ',' || ".join(f"'\"' || {_decimals(c)} || '\"'" if c in export.DECIMALS else _CELL(c) for c in columns)
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """Newest processes with the names of their users."""
+    return joins.with_usernames(sel.latest_snapshot(view(spark, d, "fx_processes")), view(spark, d, "fx_passwd"))
+
+
+NAMED = "(SELECT p.*, coalesce(u.username, CAST(p.uid AS VARCHAR)) AS username FROM fx_processes p LEFT JOIN fx_passwd u ON u.host = p.host AND u.uid = p.uid QUALIFY timestamp = max(timestamp) OVER (PARTITION BY p.host))"
+
+
+@query(duck("fx_metrics") + f" SELECT seq, {_json_sql(export.METRICS)} AS line FROM fx_metrics")
 def metrics_export_json(spark, d):
-    return view(spark, d, "fx_metrics").select("seq", export.json_line(["host", "seq", "mem_total", "mem_used", "swap_total"]).alias("line"))
+    rows = view(spark, d, "fx_metrics")
+    return rows.select("seq", F.to_json(F.struct(*export.fields(export.METRICS)), {"ignoreNullFields": "false"}).alias("line"))
 
 
-@query(duck("fx_metrics") + " SELECT seq, " + " || ',' || ".join(map(_CELL, ("host", "seq", "mem_total", "mem_used", "swap_total"))) + " AS line FROM fx_metrics")
+@query(duck("fx_metrics") + f" SELECT seq, {_csv_sql(export.METRICS)} AS line FROM fx_metrics")
 def metrics_export_csv(spark, d):
-    return view(spark, d, "fx_metrics").select("seq", export.csv_line(["host", "seq", "mem_total", "mem_used", "swap_total"]).alias("line"))
+    return view(spark, d, "fx_metrics").select("seq", *export.fields(export.METRICS)).select("seq", export.csv_line(list(export.METRICS)).alias("line"))
 
 
-@query(duck("fx_processes") + f""" SELECT host, pid, '{{"pid":' || pid || ',"name":"' || name || '","cmdline":"' || replace(cmdline, '/', '/') || '","state":"' || state || '","mem_rss":' || mem_rss || ',"threads":' || threads || '}}' AS line FROM {NEWEST}""")
+@query(duck("fx_processes", "fx_passwd") + f" SELECT host, pid, {_json_sql(export.PROCESSES)} AS line FROM {NAMED}")
 def processes_export_json(spark, d):
-    return sel.latest_snapshot(view(spark, d, "fx_processes")).select("host", "pid", export.json_line(["pid", "name", "cmdline", "state", "mem_rss", "threads"]).alias("line"))
+    return _named(spark, d).select("host", "pid", F.to_json(F.struct(*export.fields(export.PROCESSES)), {"ignoreNullFields": "false"}).alias("line"))
 
 
-@query(duck("fx_processes") + f" SELECT host, pid, " + " || ',' || ".join(map(_CELL, ("pid", "name", "cmdline", "state", "mem_rss", "threads"))) + f" AS line FROM {NEWEST}")
+@query(duck("fx_processes", "fx_passwd") + f" SELECT host, pid, {_csv_sql(export.PROCESSES)} AS line FROM {NAMED}")
 def processes_export_csv(spark, d):
-    return sel.latest_snapshot(view(spark, d, "fx_processes")).select("host", "pid", export.csv_line(["pid", "name", "cmdline", "state", "mem_rss", "threads"]).alias("line"))
+    return _named(spark, d).select("host", *export.fields(export.PROCESSES)).select("host", "pid", export.csv_line(list(export.PROCESSES)).alias("line"))
+
+
+_STATUS = ("host", "now", "sampled", *export.METRICS)
+
+
+def _status(spark: SparkSession, d: str) -> DataFrame:
+    return payload.status(sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq"), sel.latest_snapshot(view(spark, d, "fx_disks")), _named(spark, d), NOW)
 
 
-@query(duck("fx_metrics") + f" SELECT host, " + " || ',' || ".join(map(_CELL, ("host", "mem_total", "mem_used", "swap_total", "swap_used"))) + f" AS line FROM {LAST_METRICS}")
+@query(duck("fx_metrics") + f" SELECT host, {_csv_sql(_STATUS)} AS line FROM (SELECT *, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) AS now, CAST(floor(epoch(timestamp)) AS BIGINT) AS sampled FROM {LAST_METRICS})")
 def status_export_csv(spark, d):
-    return sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq").select("host", export.csv_line(["host", "mem_total", "mem_used", "swap_total", "swap_used"]).alias("line"))
+    seconds = F.unix_seconds(F.lit(NOW).cast("timestamp_ntz").cast("timestamp"))
+    rows = sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq").withColumns({"now": seconds, "sampled": F.unix_seconds(F.col("timestamp").cast("timestamp"))})
+    return rows.select(*export.fields(_STATUS)).select("host", export.csv_line(list(_STATUS)).alias("line"))
 
 
-@query(
-    duck("fx_metrics", "fx_disks")
-    + f""" SELECT host, '{{"host":"' || host || '","mem_total":' || mem_total || ',"mem_used":' || mem_used || ',"disks":[' || coalesce((SELECT string_agg('{{"mount_point":"' || mount_point || '","used_bytes":' || used_bytes || '}}', ',' ORDER BY mount_point) FROM {NEWEST_DISKS} x WHERE x.host = m.host), '') || ']}}' AS line FROM {LAST_METRICS} m"""
+_STATUS_LINES = (
+    duck("fx_metrics", "fx_disks", "fx_processes", "fx_passwd")
+    + f""", t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY {CPU_ORDER}) AS rank FROM {NAMED} QUALIFY rank <= 5),
+ds AS (SELECT host, string_agg({_json_sql(export.DISKS)}, ',' ORDER BY mount_point) AS disks FROM {NEWEST_DISKS} GROUP BY host), ts AS (SELECT host, string_agg({_json_sql(export.TOP)}, ',' ORDER BY rank) AS top FROM t GROUP BY host)
+SELECT host, left(doc, length(doc) - 1) || ',"disks":[' || coalesce(disks, '') || '],"top_processes":[' || coalesce(top, '') || ']}}' AS line
+FROM (SELECT host, {_json_sql(export.METRICS, "'\"hostname\":\"' || host || '\",\"timestamp\":' || CAST(epoch(TIMESTAMP '" + NOW + "') AS BIGINT) || ',\"sampled\":' || CAST(floor(epoch(timestamp)) AS BIGINT) || ',' || ")} AS doc FROM {LAST_METRICS}) LEFT JOIN ds USING (host) LEFT JOIN ts USING (host)"""
 )
+
+
+@query(_STATUS_LINES)
 def status_export_json(spark, d):
-    doc = payload.status(sel.latest_by_host(view(spark, d, "fx_metrics"), "timestamp", "seq"), sel.latest_snapshot(view(spark, d, "fx_disks")), sel.latest_snapshot(view(spark, d, "fx_processes")), NOW)
-    disks = F.transform("disks", lambda x: F.struct(x["mount_point"].alias("mount_point"), x["used_bytes"].alias("used_bytes")))
-    return doc.withColumn("disks", F.coalesce(disks, F.array().cast("array<struct<mount_point:string,used_bytes:bigint>>"))).select("host", export.json_line(["host", "mem_total", "mem_used", "disks"]).alias("line"))
+    return export.status_lines(_status(spark, d))
+
+
+# Newest snapshots that are kept as batches come
+
+
+def _kept(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The newest snapshots of a view whose rows came in batches out of order, one of them twice; only they are read."""
+    rows = view(spark, d, name)
+    made = newest.Newest(spark, store.scratch(spark, "newest"), rows.schema, 16)
+    epoch = made.log().begin("ticks")
+    # the middle months first, then the last ones, then the first ones and once more the last: both come to nothing
+    month = F.pmod(F.datediff(F.col("timestamp").cast("date"), F.lit("1990-01-01").cast("date")), F.lit(3))
+    for number, part in enumerate((1, 2, 0)):
+        made.update(rows.filter(month == part), "ticks", number, epoch)
+    made.update(rows.filter(month == 1), "ticks", 0, epoch)
+    return made.read()
+
+
+@query(ORACLES["processes_latest"])
+def processes_newest(spark, d):
+    return _kept(spark, d, "fx_processes")
+
+
+@query(ORACLES["disks_latest"])
+def disks_newest(spark, d):
+    return _kept(spark, d, "fx_disks")
+
+
+@query(duck("fx_metrics") + " SELECT * FROM fx_metrics QUALIFY timestamp = max(timestamp) OVER (PARTITION BY host)")
+def metrics_newest(spark, d):
+    return _kept(spark, d, "fx_metrics")
+
+
+@query(_STATUS_LINES)
+def status_newest(spark, d):
+    """The status document out of kept snapshots alone."""
+    processes = joins.with_usernames(_kept(spark, d, "fx_processes"), view(spark, d, "fx_passwd"))
+    return export.status_lines(payload.status(sel.latest_by_host(_kept(spark, d, "fx_metrics"), "timestamp", "seq"), _kept(spark, d, "fx_disks"), processes, NOW))
 
 
 # Generated fleets: each supplier is a host

@@ -93,8 +93,9 @@ def real_filesystem(fstype: Column) -> Column:
 
 
 def cgroup_vmid(content: Column) -> Column:
-    """The container id in a control-group path; the container part must follow the colon."""
-    return F.nullif(F.regexp_extract(content, r":/(?:lxc/|lxc\.payload\.)(\d+)", 1), F.lit("")).try_cast("int")
+    """The container id, from 0 to 2**32 - 1, in a control-group path; the container part must follow the colon."""
+    number = F.nullif(F.regexp_extract(content, r":/(?:lxc/|lxc\.payload\.)(\d+)", 1), F.lit("")).try_cast("long")
+    return F.when(number < 2**32, number)
 
 
 def first_line(content: Column) -> Column:

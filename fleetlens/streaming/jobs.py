@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from fleetlens.operators.commits import Files
+from fleetlens.operators.newest import Newest
 from fleetlens.operators.payload import checked, dead_letters, flattened
 from fleetlens.operators.store import Store
 from fleetlens.schemas import SCHEMAS
@@ -101,6 +102,18 @@ def append(rows: DataFrame, store: Store, table: str, checkpoint: str, every: st
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+def keep_newest(rows: DataFrame, newest: Newest, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
+    """Takes each batch into a table of newest snapshots; a batch that is run again, or comes late, changes nothing."""
+    stream = stream_id(rows.sparkSession, checkpoint)
+    epoch = newest.log().begin(stream)
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest.update(batch, stream, number, epoch)
+
+    out = rows.writeStream.queryName(f"newest-{stream[:8]}").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/spark")
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
 def append_all(tables: dict[str, DataFrame], store: Store, checkpoint: str, every: str | None = "10 seconds") -> dict[str, StreamingQuery]:
     """One query for each table; one that fails leaves the others running."""
     return {name: append(rows, store, name, checkpoint, every) for name, rows in tables.items()}
