@@ -70,7 +70,8 @@ class _Cells:
     """The cells of many sets, folded to any number that two of them share."""
 
     def __init__(self, column: pd.Series) -> None:
-        self.own = [np.frombuffer(x, np.uint16) for x in column]
+        # a cell that could not count further bounds nothing: it stands for 2**24
+        self.own = [np.where(x < 65_535, x.astype(np.int32), 2**24).astype(np.int32) for x in (np.frombuffer(x, np.uint16) for x in column)]
         self.size = np.array([len(x) for x in self.own])
         self.folded = {int(g): np.stack([x.reshape(-1, g).sum(axis=0, dtype=np.int32) if len(x) >= g else np.zeros(g, np.int32) for x in self.own]) for g in np.unique(self.size)}
 

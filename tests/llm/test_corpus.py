@@ -627,3 +627,12 @@ def test_pipeline_keeps_clean_documents(spark):
         seen = out
     assert 0 < seen.select("doc_id").distinct().count() <= before
     assert corpus_pipeline.STAGES[-1][1](spark, seen, SF).count() > 0
+
+
+def test_full_cells_bound_nothing():
+    """Sets with more elements in a cell than it counts are never taken for less alike than they are."""
+    full = np.full(128, 65_535, np.uint16)
+    some = np.full(128, 3, np.uint16)
+    cells = neardup._Cells(pd.Series([full.tobytes(), full.tobytes(), some.tobytes()]))
+    most = cells.most_common(0, np.array([1, 2]))
+    assert most[0] == 128 * 2**24 and most[1] == 3 * 128
