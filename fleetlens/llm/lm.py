@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import bucketed, stored
 from fleetlens.llm.shingles import mixed, word_hashes
 
-#: Tokens of a chunk (a longer document is a chunk of its own) and of a range, and the counts that are discounted.
-CHUNK, RANGE, DISCOUNTED = 3_000_000, 4_000_000, 5
+#: Tokens of a chunk (a longer document is a chunk of its own) and of a range, which bound what a task holds, and the counts that are discounted.
+CHUNK, RANGE, DISCOUNTED = 1_200_000, 2_000_000, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,11 +278,11 @@ def katz_scores(docs: DataFrame, order: int = 2, holdout: int = 7, held: int = 2
     checksum and kept; repeated rows count each; long texts are read whole; without training rows every token is the unknown one, with
     probability 1; an empty table gives no rows; other columns are ignored.
     """
-    made = stored(chunks(docs, holdout, held, chunk), "tokens")
-    if made.isEmpty():
+    # chunks are written once, where every later step finds them without a shuffle
+    state = bucketed(chunks(docs, holdout, held, chunk), "chunks", "chunk", max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if state.isEmpty():
         return docs.sparkSession.createDataFrame([], _SCORED)
-    state = bucketed(made, "chunks", "chunk", max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    n_tokens = made.mapInPandas(lambda it: (pd.DataFrame({"n": [sum(int(_widen(x, np.int64).sum()) for x in pdf["sizes"])]}) for pdf in it), "n long").agg(F.sum("n")).first()[0]
+    n_tokens = state.select("sizes").mapInPandas(lambda it: (pd.DataFrame({"n": [sum(int(_widen(x, np.int64).sum()) for x in pdf["sizes"])]}) for pdf in it), "n long").agg(F.sum("n")).first()[0]
     ranges = max(8, -(-n_tokens // per_range))
 
     def ask_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,7 +292,7 @@ def katz_scores(docs: DataFrame, order: int = 2, holdout: int = 7, held: int = 2
                 for level in range(order):
                     yield _asked(level, row["chunk"], c.grams[level][0], ranges, n=c.trained_counts(level))
 
-    counted = stored(made.mapInPandas(ask_counts, _QUESTIONS).groupBy("level", "range").applyInPandas(_counted, _COUNTS), "ngrams")
+    counted = stored(state.mapInPandas(ask_counts, _QUESTIONS).groupBy("level", "range").applyInPandas(_counted, _COUNTS), "ngrams")
     # one short row for each level
     of = {r["level"]: r for r in counted.filter("chunk IS NULL").groupBy("level").agg(*[F.sum(F.col("times")[r]).alias(f"t{r}") for r in range(DISCOUNTED + 1)], F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).collect()}
     times = {k: [r[f"t{i}"] for i in range(DISCOUNTED + 1)] for k, r in of.items()}
