@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,4 +158,96 @@ def container_rates(counters: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> D
     return rows.groupBy("host", "vmid").transformWithStateInPandas(statefulProcessor=ContainerRates(ttl_ms), outputStructType=RATES, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
+class _Sampled(StatefulProcessor):
+    """Rows of one host against the previous sample of each of their keys, over batches and restarts.
+
+    The state is one value for a host: for each key its last sample's time, its first one's, and its counters. Keys
+    without a sample for `keep_s` seconds of the host's own time are forgotten, so that ended processes take no room; a host that is silent
+    for `ttl_ms` is forgotten whole.
+    """
+
+    def __init__(self, keys: list[str], counters: list[str], formula: Callable[..., dict[str, Any]], columns: list[str], keep_s: int, ttl_ms: int | None) -> None:
+        self.keys, self.counters, self.formula, self.columns, self.keep_s, self.ttl_ms = keys, counters, formula, columns, keep_s, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("samples", "ids array<string>, micros array<bigint>, firsts array<bigint>, counters array<bigint>", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # one host's rows of one batch, which the source bounds
+        got = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], ignore_index=True)
+        ids = got[self.keys].astype(str).agg("|".join, axis=1) if self.keys else pd.Series("", index=got.index)
+        k = len(self.counters)
+        now = pd.DataFrame({"micros": got["timestamp"].astype("datetime64[us]").astype("int64")} | {c: got[c].astype("int64") for c in self.counters})
+        now["first"] = now["micros"]
+        if self.last.exists():
+            old_ids, micros, firsts, counters = self.last.get()
+            before = pd.DataFrame(np.array(counters, np.int64).reshape(-1, k), columns=self.counters).assign(micros=micros, first=firsts)
+            old = pd.Series(list(old_ids), dtype=object)
+        else:
+            before, old = now.iloc[:0], pd.Series([], dtype=object)
+        # the last samples stand before the new ones of their keys
+        both, whose = pd.concat([before[now.columns], now], ignore_index=True), pd.concat([old, ids], ignore_index=True)
+        both["first"] = both.groupby(whose)["first"].transform("first")
+        prior = both.groupby(whose).shift(1).iloc[len(before) :].reset_index(drop=True)
+        now["first"] = both["first"].iloc[len(before) :].to_numpy()
+        has = prior["micros"].notna().to_numpy()
+        seconds = np.where(has, (now["micros"] - prior["micros"].fillna(0)) / 1_000_000.0, 0.0)
+        # what is forgotten does not depend on where batches end
+        has &= seconds <= self.keep_s
+        seconds = np.where(has, seconds, 0.0)
+        grown = {c: np.where(has, np.maximum(now[c] - prior[c].fillna(0), 0), 0) for c in self.counters}
+        kept = both.groupby(whose).tail(1)
+        kept = kept[kept["micros"] >= both["micros"].max() - self.keep_s * 1_000_000]
+        self.last.update((list(whose[kept.index]), [int(x) for x in kept["micros"]], [int(x) for x in kept["first"]], [int(x) for x in kept[self.counters].to_numpy().ravel()]))
+        yield got.assign(**self.formula(has, seconds, grown, now))[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def _host_formula(has: np.ndarray, seconds: np.ndarray, grown: dict[str, np.ndarray], now: pd.DataFrame) -> dict[str, Any]:
+    total = sum(grown.values()).astype(float)
+    share = lambda x: np.divide(100.0 * x, total, out=np.zeros(len(total)), where=total > 0)
+    return {"cpu_percent": share(total - grown["c_idle"]), "cpu_user": share(grown["c_user"] + grown["c_nice"]), "cpu_system": share(grown["c_system"]), "cpu_iowait": share(grown["c_iowait"])}
+
+
+def _process_formula(has: np.ndarray, seconds: np.ndarray, grown: dict[str, np.ndarray], now: pd.DataFrame) -> dict[str, Any]:
+    return {"cpu_percent": np.divide(100.0 * grown["jiffies"], 100.0 * seconds, out=np.zeros(len(has)), where=seconds > 0)}
+
+
+def _self_formula(has: np.ndarray, seconds: np.ndarray, grown: dict[str, np.ndarray], now: pd.DataFrame) -> dict[str, Any]:
+    rate = np.divide(grown["jiffies"] / 100.0, seconds, out=np.zeros(len(has)), where=seconds > 0) * 100.0
+    return {"cpu_percent": rate, "uptime_seconds": (now["micros"] - now["first"]) // 1_000_000}
+
+
+def _sampled(rows: DataFrame, keys: list[str], counters: list[str], formula: Callable[..., dict[str, Any]], out: list[tuple[str, T.DataType]], keep_s: int, ttl_ms: int | None) -> DataFrame:
+    rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    schema = T.StructType([*[f for f in rows.schema if f.name not in dict(out)], *[T.StructField(n, t) for n, t in out]])
+    processor = _Sampled(keys, counters, formula, schema.names, keep_s, ttl_ms)
+    return rows.groupBy("host").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
+_DOUBLE, _LONG = T.DoubleType(), T.LongType()
+
+
+def host_rates(counters: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
+    """Streaming form of operators.derive.cpu_rates: 0.0 for a host's first sample or without progress."""
+    names = [c for c in ("c_user", "c_nice", "c_system", "c_idle", "c_iowait", "c_irq", "c_softirq", "c_steal") if c in counters.columns]
+    return _sampled(counters, [], names, _host_formula, [(c, _DOUBLE) for c in ("cpu_percent", "cpu_user", "cpu_system", "cpu_iowait")], 2**40, ttl_ms)
+
+
+def process_rates(samples: DataFrame, keep_s: int = 600, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
+    """Streaming form of operators.derive.process_rates, by host and pid, and by `started` where there is such a column.
+
+    A pid that is used again starts anew if `started` tells so; without it, its counter has gone back and has grown by 0.
+    A process without a sample for `keep_s` seconds is forgotten.
+    """
+    return _sampled(samples, ["pid", *[c for c in ("started",) if c in samples.columns]], ["jiffies"], _process_formula, [("cpu_percent", _DOUBLE)], keep_s, ttl_ms)
+
+
+def self_rates(samples: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
+    """Streaming form of operators.derive.self_rates; uptime counts from the first sample, over restarts of the stream."""
+    return _sampled(samples, [], ["jiffies"], _self_formula, [("cpu_percent", _DOUBLE), ("uptime_seconds", _LONG)], 2**40, ttl_ms)
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -80,3 +80,57 @@ def test_keyed_state_equals_lag(spark, tmp_path):
     want = {(r["vmid"], r["seq"]): r["cpu_pct"] for r in derive.container_rates(df).collect()}
     assert got == pytest.approx(want)
     assert sum(x is None for x in got.values()) == 4
+
+
+def _worked_off(spark, tmp_path, rows, schema, stream, parts=3):
+    """A stream over files that come one after the other, each run a new start from the checkpoint; rows by seq."""
+    pytest.importorskip("google.protobuf", reason="stateful processing in Python needs it")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    times = sorted({r[1] for r in rows})
+    try:
+        for k in range(parts):
+            cut = times[len(times) * k // parts : len(times) * (k + 1) // parts]
+            spark.createDataFrame([r for r in rows if r[1] in cut], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            frame = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            q = stream(frame).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            assert q.awaitTermination(300)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return {r["seq"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_host_and_self_rates_equal_lag(spark, tmp_path):
+    schema = "host string, timestamp timestamp_ntz, seq long, c_user long, c_nice long, c_system long, c_idle long, c_iowait long, jiffies long"
+    rows = [(f"h{h}", datetime(2024, 1, 1) + timedelta(seconds=10 * (i // 2)), 100 * h + i, (i * 37 * (h + 1)) % 500, i // 5, i * 3, i * 50, i % 4, (i * i * 7) % 900) for h in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, schema)
+    for name, stream, batch, columns in (("host", jobs.host_rates, derive.cpu_rates, ("cpu_percent", "cpu_user", "cpu_system", "cpu_iowait")), ("self", jobs.self_rates, derive.self_rates, ("cpu_percent", "uptime_seconds"))):
+        got = _worked_off(spark, tmp_path / name, rows, schema, lambda f, s=stream: s(f, ttl_ms=None))
+        want = {r["seq"]: r for r in batch(df).collect()}
+        assert len(got) == len(want) == 60
+        for k, r in want.items():
+            assert [got[k][c] for c in columns] == pytest.approx([r[c] for c in columns]), (name, k)
+
+
+def test_process_rates_equal_lag_and_forget_the_dead(spark, tmp_path):
+    schema = "host string, timestamp timestamp_ntz, seq long, pid int, started long, jiffies long"
+    rows, seq = [], 0
+    for i in range(15):
+        for h in range(2):
+            for pid in range(1, 6):
+                if pid == 2 and i > 4 or pid == 3 and 4 < i < 12:  # one ends, one is away for longer than samples are kept
+                    continue
+                started = 1 if pid == 4 and i >= 7 else 0  # a pid that is used again, with a higher counter
+                rows.append((f"h{h}", datetime(2024, 1, 1) + timedelta(seconds=10 * i), seq, pid, started, 1000 * started + (i * pid * 13) % 300))
+                seq += 1
+    got = _worked_off(spark, tmp_path, rows, schema, lambda f: jobs.process_rates(f, keep_s=60, ttl_ms=None))
+    df = spark.createDataFrame(rows, schema)
+    want = {r["seq"]: r["cpu_percent"] for r in derive.process_rates(df, keys=("host", "pid", "started")).collect()}
+    assert len(got) == len(want) == len(rows)
+    back = {r[2] for r in rows if r[3] == 3 and r[1] == datetime(2024, 1, 1) + timedelta(seconds=120)}
+    assert len(back) == 2
+    for k, x in want.items():
+        assert got[k]["cpu_percent"] == pytest.approx(0.0 if k in back else x), k
+    again = [r[2] for r in rows if r[3] == 4 and r[1] == datetime(2024, 1, 1) + timedelta(seconds=70)]
+    assert all(got[k]["cpu_percent"] == 0.0 for k in again)
