@@ -732,6 +732,45 @@ def stream_documents(spark, d):
     return store.table_counts({name: made.read(name) for name in _DOCUMENT_PARTS})
 
 
+def _streamed(spark: SparkSession, d: str, columns: list, rates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What keyed state makes of the counters, in two runs of a stream: what came before a moment, then the rest."""
+    base, rows = store.scratch(spark, "rates"), view(spark, d, "fx_counters").select("host", "timestamp", "seq", *columns)
+    middle = F.lit(RANGE[1]).cast("timestamp_ntz")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, jobs.ROCKSDB)
+    try:
+        for part in (F.col("timestamp") < middle, F.col("timestamp") >= middle):
+            rows.filter(part).write.mode("append").parquet(f"{base}/in")
+            stream = rates(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+            stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{base}/out")
+
+
+@query(ORACLES["cpu_delta"])
+def stream_host_rates(spark, d):
+    counters = ["c_user", "c_nice", "c_system", "c_idle", "c_iowait"]
+    return _streamed(spark, d, counters, lambda s: jobs.host_rates(s, ttl_ms=None)).select("host", "seq", "cpu_percent", "cpu_user", "cpu_system", "cpu_iowait")
+
+
+@query(ORACLES["proc_cpu_delta"])
+def stream_process_rates(spark, d):
+    columns = [F.col("vmid").alias("pid"), F.col("usage_usec").alias("jiffies")]
+    return _streamed(spark, d, columns, lambda s: jobs.process_rates(s, keep_s=2**40, ttl_ms=None)).select("host", F.col("pid").alias("vmid"), "seq", "cpu_percent")
+
+
+@query(ORACLES["self_cpu_delta"])
+def stream_self_rates(spark, d):
+    return _streamed(spark, d, [F.col("c_system").alias("jiffies")], lambda s: jobs.self_rates(s, ttl_ms=None)).select("host", "seq", "cpu_percent", "uptime_seconds")
+
+
+@query(ORACLES["container_cpu_delta"])
+def stream_container_rates(spark, d):
+    return _streamed(spark, d, ["vmid", "usage_usec", "mem_current", "mem_max"], lambda s: jobs.container_rates(s, ttl_ms=None)).select("host", "vmid", "seq", "cpu_pct")
+
+
 #: Kinds of documents that cannot be taken apart, by the last digit of a number.
 _BROKEN = {1: ("not JSON", "'{\"host\":' || props"), 3: ("no time", "'{\"host\":\"h\"}'"), 5: ("not an object", "'[' || event_id || ']'"), 7: ("empty", "''"), 9: ("no host", "'{\"metrics\":{\"timestamp\":\"2024-01-01T00:00:00.000000\"}}'")}
 

@@ -307,9 +307,54 @@ def test_added_columns(spark, tmp_path):
     assert sorted((r["identifier"] or "") for r in store.read("logs").collect()) == ["", "i"]
 
 
-def test_read_only_sql(spark):
+def test_read_only_sql(spark, tmp_path):
     views = {"fx_one": frame(spark, [(1,)], "a int")}
-    assert sqlapi.query(spark, "WITH x AS (SELECT a FROM fx_one) SELECT a FROM x ORDER BY a -- end", views).collect() == [Row(a=1)]
-    for bad in ("DROP VIEW fx_one", "INSERT INTO fx_one VALUES (2)", "SELECT 1) x; DROP VIEW fx_one --", "SHOW TABLES"):
+    frame(spark, [(9,)], "a int").createOrReplaceTempView("hidden")
+    frame(spark, [(9,)], "a int").write.parquet(str(tmp_path / "p"))
+    for good, want in (
+        ("WITH x AS (SELECT a FROM fx_one) SELECT a FROM x ORDER BY a -- end", [Row(a=1)]),
+        ("SELECT a FROM FX_ONE WHERE a IN (SELECT max(a) FROM fx_one) HAVING true", None),
+        ("SELECT (SELECT max(a) FROM fx_one) AS a", [Row(a=1)]),
+        ("SELECT f.a FROM fx_one f JOIN fx_one g ON f.a = g.a UNION SELECT a FROM fx_one", [Row(a=1)]),
+        ("SELECT sum(id) AS a FROM range(3)", [Row(a=3)]),
+        ("SELECT col AS a FROM fx_one LATERAL VIEW explode(array(a)) t AS col", [Row(a=1)]),
+        ("SELECT a, row_number() OVER w AS r FROM (SELECT DISTINCT a FROM fx_one) WINDOW w AS (ORDER BY a) ORDER BY a LIMIT 5", [Row(a=1, r=1)]),
+        ("SELECT a FROM fx_one INTERSECT SELECT * FROM VALUES (1), (2) t(a) EXCEPT SELECT 3", [Row(a=1)]),
+        ("SELECT x.a FROM fx_one x, LATERAL (SELECT max(a) AS m FROM fx_one y WHERE y.a = x.a) WHERE m = 1 GROUP BY x.a HAVING count(*) > 0", [Row(a=1)]),
+        ("SELECT /*+ BROADCAST(f) */ f.a FROM fx_one TABLESAMPLE (100 PERCENT) f WHERE EXISTS (SELECT 1 FROM fx_one) OFFSET 0", [Row(a=1)]),
+        ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT max(n) AS a FROM r", [Row(a=3)]),
+        ("SHOW TABLES", [Row(table_name="fx_one")]),
+    ):
+        if want is not None:
+            assert sqlapi.query(spark, good, views).collect() == want, good
+    assert sqlapi.query(spark, "DESCRIBE fx_one", views).first()["col_name"] == "a"
+    assert sqlapi.query(spark, "DESCRIBE QUERY SELECT a AS b FROM fx_one", views).first()["col_name"] == "b"
+    assert "Physical Plan" in sqlapi.query(spark, "EXPLAIN SELECT a FROM fx_one", views).first()[0]
+    path = tmp_path / "p"
+    for bad in (
+        "DROP VIEW fx_one",
+        "INSERT INTO fx_one VALUES (2)",
+        "CREATE TABLE t AS SELECT 1",
+        "SELECT 1) x; DROP VIEW fx_one --",
+        "SELECT 1; SELECT 2",
+        "SET a = b",
+        f"SELECT * FROM parquet.`{path}`",
+        f"SELECT a FROM fx_one WHERE a IN (SELECT a FROM parquet.`{path}`)",
+        f"WITH x AS (SELECT * FROM parquet.`{path}`) SELECT * FROM x",
+        f"SELECT (SELECT max(a) FROM parquet.`{path}`)",
+        f"EXPLAIN SELECT * FROM parquet.`{path}`",
+        "SELECT * FROM hidden",
+        "SELECT * FROM spark_catalog.default.hidden",
+        "DESCRIBE hidden",
+        "EXPLAIN DROP VIEW fx_one",
+        "SELECT reflect('java.lang.System', 'lineSeparator') FROM fx_one",
+        "SELECT max(length(java_method('java.lang.System', 'lineSeparator'))) FROM fx_one",
+        "CACHE TABLE fx_one",
+        "ADD FILE '/etc/hosts'",
+        f"FROM fx_one INSERT OVERWRITE DIRECTORY '{tmp_path / 'out'}' USING parquet SELECT a",
+        "SELECT * FROM read_files('/tmp')",
+    ):
         with pytest.raises(AnalysisException):
             sqlapi.query(spark, bad, views)
+    spark.catalog.dropTempView("hidden")
+
