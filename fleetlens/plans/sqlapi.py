@@ -30,7 +30,7 @@ def _seq(java: JavaObject) -> Iterator[JavaObject]:
 
 
 def _name(node: JavaObject) -> str:
-    return node.getClass().getSimpleName()
+    return node.getClass().getSimpleName().rstrip("$")
 
 
 class _Guard:
