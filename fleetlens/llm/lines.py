@@ -139,8 +139,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Every row stays, in any order; earliest is by doc_id, then line. Null text stays null with 0 lines; empty text has
     one line, which is kept; a null doc_id comes last; rows that are equal in doc_id and text count as one document and
-    lose the same lines; a line may repeat inside its document; an empty table gives no rows; work is linear in a text,
-    however long. Columns of docs named like those added are replaced, all others pass through whatever their names.
+    lose the same lines; a line may repeat inside its document; an empty table gives no rows; work is linear in
+    the number of lines, and for each line of six words or more grows with the square of its words. Columns of docs named like those added are replaced, all others pass through whatever their names.
     A line that has a word goes if an earlier one is equal or within the edit bound (see above) in the input, whether
     that one stays or not.
     """
