@@ -732,6 +732,19 @@ def stream_documents(spark, d):
     return store.table_counts({name: made.read(name) for name in _DOCUMENT_PARTS})
 
 
+@query(ORACLES["payload_flatten"])
+def stream_document_logs(spark, d):
+    """The log rows themselves that a stream takes out of the hosts' documents, over a second run that finds nothing new."""
+    base = store.scratch(spark, "document-logs")
+    doc = _payload(spark, d)
+    payload.to_document(doc).select(F.col("document").alias("value"), "host").write.partitionBy("host").text(f"{base}/in")
+    made = store.Store(spark, f"{base}/store")
+    made.create()
+    for _ in range(2):
+        jobs.append(jobs.document_streams(spark, f"{base}/in", doc.schema)["logs"], made, "logs", f"{base}/checkpoint", every=None).awaitTermination()
+    return made.read("logs").select("host", "timestamp", "seq", "unit", "priority", "message", "pid")
+
+
 def _streamed(spark: SparkSession, d: str, columns: list, rates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What keyed state makes of the counters, in two runs of a stream: what came before a moment, then the rest."""
     base, rows = store.scratch(spark, "rates"), view(spark, d, "fx_counters").select("host", "timestamp", "seq", *columns)
