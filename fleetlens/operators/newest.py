@@ -14,7 +14,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from fleetlens.operators.commits import Conflict, Log, ReplacedWriter
-from fleetlens.operators.select import latest_snapshot
 
 
 @dataclass(frozen=True)
@@ -39,10 +38,7 @@ class Newest:
 
     def update(self, rows: DataFrame, stream: str | None = None, number: int = -1, epoch: int = 0, tries: int = 10) -> bool:
         """Takes in a batch; False if it was there already. Rows as new as those of their host stand beside them."""
-        columns = [f.name for f in self.schema]
-        new = latest_snapshot(rows.select(*columns)).withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(self.buckets)).cast("int"))
-        # at most one number for each bucket
-        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+        columns, new, touched, aside = [f.name for f in self.schema], None, [], []
         for _ in range(tries):
             log = self.log()
             now = log.snapshot()
@@ -50,13 +46,24 @@ class Newest:
                 raise ReplacedWriter(f"{stream}: epoch {epoch} was replaced by {now.epoch(stream)}")
             if stream is not None and number <= now.last(stream):
                 return False
+            if new is None:  # a batch that is there already is not read
+                # the newest times are written aside: their size is known then, so that few of them are broadcast and the
+                # batch's rows are not shuffled, and what comes after reads the batch once. vacuum() deletes what is left of them.
+                every, bucket = rows.select(*columns), F.pmod(F.xxhash64("host"), F.lit(self.buckets)).cast("int")
+                times = every.filter("host IS NOT NULL").groupBy("host").agg(F.max("timestamp").alias("timestamp")).filter("timestamp IS NOT NULL")
+                aside = log.write(times.withColumn("bucket", bucket).repartition("bucket"))
+                few = log.read([f["path"] for f in aside], StructType([self.schema["host"], self.schema["timestamp"], StructField("bucket", IntegerType())]))
+                new, touched = every.join(few.drop("bucket"), ["host", "timestamp"], "left_semi").withColumn("bucket", bucket), sorted({int(f["part"]) for f in aside})
             have = [f for f in log.live(now) if f[1].isdigit() and int(f[1]) in set(touched)]
             both = self._rows([path for path, _, _ in have]).unionByName(new)
             of_host = Window.partitionBy("bucket", "host")
             kept = both.withColumn("_newest", F.max("timestamp").over(of_host)).filter("timestamp = _newest").drop("_newest")
             try:
                 add = log.write(kept.repartition(max(len(touched), 1), "bucket")) if touched else []
-                return log.commit("upsert", add, have, stream, number, epoch) is not None
+                done = log.commit("upsert", add, have, stream, number, epoch) is not None
+                for folder in {f["path"].split("/")[0] for f in aside}:
+                    log.files.delete(f"{log.root}/data/{folder}")
+                return done
             except Conflict:  # another stream took the same buckets in hand
                 continue
         raise Conflict(f"{self.root}: others kept replacing buckets")

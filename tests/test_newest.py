@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.operators import select as sel
 from fleetlens.operators.newest import Newest
@@ -85,3 +86,11 @@ def test_stream_keeps_it_and_reads_no_history(spark, tmp_path):
     assert listed(got) == listed(sel.latest_snapshot(spark.createDataFrame(rows, SCHEMA)))
     assert got.inputFiles() and all("/newest/data/commit=" in f for f in got.inputFiles())
     assert len(got.inputFiles()) == len(kept.log().live(kept.log().snapshot())) < len(list((tmp_path / "newest" / "data").glob("*/*/*.parquet")))
+
+
+def test_a_batch_that_is_there_already_is_not_read(spark, tmp_path):
+    kept = Newest(spark, str(tmp_path), spark.createDataFrame([], SCHEMA).schema, 4)
+    assert kept.update(spark.createDataFrame([("a", DAY, 1)], SCHEMA), "s", 0)
+    broken = spark.createDataFrame([("a", DAY, 1)], SCHEMA).withColumn("host", F.raise_error(F.lit("was read")).cast("string"))
+    assert not kept.update(broken, "s", 0)
+    assert len(list((tmp_path / "data").iterdir())) == 1  # what was written aside is gone
