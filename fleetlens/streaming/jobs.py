@@ -120,62 +120,24 @@ def append_all(tables: dict[str, DataFrame], store: Store, checkpoint: str, ever
     return {name: append(rows, store, name, checkpoint, every) for name, rows in tables.items()}
 
 
-class ContainerRates(StatefulProcessor):
-    """cpu_pct of a container's usage counter against its last sample, which is the state; null for the first one."""
-
-    def __init__(self, ttl_ms: int | None) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long, usage long", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # one key's rows of one batch, which a trigger's file limit bounds
-        got = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"])
-        last = self.last.get() if self.last.exists() else None
-        micros = got["timestamp"].astype("datetime64[us]").astype("int64")
-        usage = got["usage_usec"].astype("int64")
-        before_m = micros.shift(1).astype("Int64")
-        before_u = usage.shift(1).astype("Int64")
-        if last is not None:
-            before_m.iloc[0], before_u.iloc[0] = last[0], last[1]
-        seconds = (micros - before_m) / 1_000_000.0
-        grown = (usage - before_u).clip(lower=0)
-        rate = (grown / (seconds * 1_000_000.0) * 100.0).where(seconds > 0)
-        self.last.update((int(micros.iloc[-1]), int(usage.iloc[-1])))
-        yield pd.DataFrame({"host": key[0], "vmid": key[1], "timestamp": got["timestamp"], "seq": got["seq"], "cpu_pct": rate.astype("Float64"), "mem_current": got["mem_current"], "mem_max": got["mem_max"]})
-
-    def close(self) -> None:
-        pass
-
-
-def container_rates(counters: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
-    """Streaming form of operators.derive.container_rates; needs the RocksDB state store.
-
-    With a time to live Spark goes on running empty batches, so a run that shall end by itself takes None.
-    """
-    rows = counters.select("host", "vmid", F.col("timestamp").cast("timestamp").alias("timestamp"), "seq", "usage_usec", "mem_current", "mem_max")
-    return rows.groupBy("host", "vmid").transformWithStateInPandas(statefulProcessor=ContainerRates(ttl_ms), outputStructType=RATES, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
-
-
 class _Sampled(StatefulProcessor):
-    """Rows of one host against the previous sample of each of their keys, over batches and restarts.
+    """Rows of one bucket of a host's keys against the previous sample of each key, over batches and restarts.
 
-    The state is one value for a host: for each key its last sample's time, its first one's, and its counters. Keys
-    without a sample for `keep_s` seconds of the host's own time are forgotten, so that ended processes take no room; a host that is silent
-    for `ttl_ms` is forgotten whole.
+    The state is one value for a bucket: for each key its last sample's time, its first one's, and its counters. So
+    Python is called once for a bucket, not once for a key. Keys without a sample for `keep_s` seconds of the bucket's own time
+    are forgotten, so that ended processes take no room; a bucket that is silent for `ttl_ms` is forgotten whole.
     """
 
-    def __init__(self, keys: list[str], counters: list[str], formula: Callable[..., dict[str, Any]], columns: list[str], keep_s: int, ttl_ms: int | None) -> None:
-        self.keys, self.counters, self.formula, self.columns, self.keep_s, self.ttl_ms = keys, counters, formula, columns, keep_s, ttl_ms
+    def __init__(self, counters: list[str], formula: Callable[..., dict[str, Any]], columns: list[str], keep_s: int, ttl_ms: int | None) -> None:
+        self.counters, self.formula, self.columns, self.keep_s, self.ttl_ms = counters, formula, columns, keep_s, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("samples", "ids array<string>, micros array<bigint>, firsts array<bigint>, counters array<bigint>", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # one host's rows of one batch, which the source bounds
+        # one bucket's rows of one batch, which the source bounds
         got = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], ignore_index=True)
-        ids = got[self.keys].astype(str).agg("|".join, axis=1) if self.keys else pd.Series("", index=got.index)
+        ids = got["key_name"]
         k = len(self.counters)
         now = pd.DataFrame({"micros": got["timestamp"].astype("datetime64[us]").astype("int64")} | {c: got[c].astype("int64") for c in self.counters})
         now["first"] = now["micros"]
@@ -220,11 +182,35 @@ def _self_formula(has: np.ndarray, seconds: np.ndarray, grown: dict[str, np.ndar
     return {"cpu_percent": rate, "uptime_seconds": (now["micros"] - now["first"]) // 1_000_000}
 
 
+def _container_formula(has: np.ndarray, seconds: np.ndarray, grown: dict[str, np.ndarray], now: pd.DataFrame) -> dict[str, Any]:
+    there = has & (seconds > 0)
+    rate = np.divide(grown["usage_usec"], seconds * 1_000_000.0, out=np.zeros(len(has)), where=there) * 100.0
+    return {"cpu_pct": pd.arrays.FloatingArray(rate, ~there)}
+
+
+#: Into how many buckets the keys of a host are dealt; what a stream's state has been begun with, it has to be gone on with.
+BUCKETS = 16
+
+
 def _sampled(rows: DataFrame, keys: list[str], counters: list[str], formula: Callable[..., dict[str, Any]], out: list[tuple[str, T.DataType]], keep_s: int, ttl_ms: int | None) -> DataFrame:
     rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     schema = T.StructType([*[f for f in rows.schema if f.name not in dict(out)], *[T.StructField(n, t) for n, t in out]])
-    processor = _Sampled(keys, counters, formula, schema.names, keep_s, ttl_ms)
-    return rows.groupBy("host").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    processor = _Sampled(counters, formula, schema.names, keep_s, ttl_ms)
+    name = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]) if keys else F.lit("")
+    # Spark gives columns whose names begin with an underscore other names in Python
+    dealt = rows.withColumn("key_name", name).withColumn("key_bucket", F.pmod(F.xxhash64("key_name"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("host", "key_bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
+def container_rates(counters: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
+    """Streaming form of operators.derive.container_rates, null for a container's first sample; needs the RocksDB state store.
+
+    A container without a sample for `ttl_ms` of its bucket's own time is forgotten.
+    With a time to live Spark goes on running empty batches, so a run that shall end by itself takes None.
+    """
+    rows = counters.select("host", "vmid", "timestamp", "seq", "usage_usec", "mem_current", "mem_max")
+    made = _sampled(rows, ["vmid"], ["usage_usec"], _container_formula, [("cpu_pct", T.DoubleType())], ttl_ms // 1000 if ttl_ms else 2**40, ttl_ms)
+    return made.select(*[F.col(f.name).cast(f.dataType) for f in RATES])
 
 
 _DOUBLE, _LONG = T.DoubleType(), T.LongType()

@@ -134,3 +134,12 @@ def test_process_rates_equal_lag_and_forget_the_dead(spark, tmp_path):
         assert got[k]["cpu_percent"] == pytest.approx(0.0 if k in back else x), k
     again = [r[2] for r in rows if r[3] == 4 and r[1] == datetime(2024, 1, 1) + timedelta(seconds=70)]
     assert all(got[k]["cpu_percent"] == 0.0 for k in again)
+
+
+def test_state_of_containers_lies_in_buckets_not_one_by_one(spark, tmp_path):
+    schema = "host string, timestamp timestamp_ntz, vmid int, seq long, usage_usec long, mem_current long, mem_max long"
+    rows = [("h", datetime(2024, 1, 1) + timedelta(seconds=10 * i), v, i * 100 + v, i * 700 * v, i, None) for i in range(2) for v in range(100)]
+    got = _worked_off(spark, tmp_path, rows, schema, lambda f: jobs.container_rates(f, ttl_ms=None), parts=1)
+    assert len(got) == 200 and sum(r["cpu_pct"] is None for r in got.values()) == 100
+    kept = spark.read.format("statestore").option("stateVarName", "samples").load(str(tmp_path / "ck"))
+    assert 1 < kept.count() <= jobs.BUCKETS
