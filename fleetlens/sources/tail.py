@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "host string, path string, seq long, value string"
 #: Rows of a batch, and bytes after which a line without an end is taken as it is.
 ROWS, LONGEST = 1000, 1 << 20
+#: Bytes of a task: ranges of files are read together up to it, so a batch of a few lines from many files is one task, and one file.
+TASK_BYTES = 4 << 20
 _BLOCK = 1 << 16
 
 
@@ -69,11 +71,29 @@ def lines_from(stream: pa.NativeFile, at: int, upto: int | None = None, longest:
         at, kept = at + begin, kept[begin:]
 
 
-class _Range(InputPartition):
+class _Range:
     def __init__(self, path: str, identity: str, begin: int, end: int, seq: int) -> None:
         self.path, self.identity, self.begin, self.end, self.seq = path, identity, begin, end, seq
 
 
+class _Ranges(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, ranges: list[_Range]) -> None:
+        self.ranges = ranges
+
+
+def _together(ranges: list[_Range]) -> list[_Ranges]:
+    out, size = [], TASK_BYTES
+    for r in ranges:
+        if size + r.end - r.begin > TASK_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += r.end - r.begin
+    return [_Ranges(x) for x in out]
+
+
 class GrowingLinesReader(DataSourceStreamReader):
     """An offset is self-contained: seq of the next line, and for each file its path, the range of the last batch and its first seq."""
 
@@ -142,9 +162,13 @@ class GrowingLinesReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self._planned(end)
-        return [_Range(path, k, begin, to, seq) for k, (path, begin, to, seq) in end["files"].items() if to > begin] if end["seq"] > start["seq"] else []
+        return _together([_Range(path, k, begin, to, seq) for k, (path, begin, to, seq) in end["files"].items() if to > begin]) if end["seq"] > start["seq"] else []
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self._read(r)
+
+    def _read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         system, _ = _opened(self.folder)
         path = partition.path
         if isinstance(system, fs.LocalFileSystem) and _identity(system, path) != partition.identity:

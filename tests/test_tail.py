@@ -114,3 +114,13 @@ def test_stream_over_restarts(spark, tmp_path, kind):
         q.stop()
     got = store.read("logs").orderBy("seq").collect()
     assert [(r["seq"], r["message"], r["host"]) for r in got] == [(i, f"m{i}", "h") for i in range(n)]
+
+
+def test_short_ranges_of_many_files_are_one_task(tmp_path):
+    at = folder(tmp_path)
+    for k in range(20):
+        (at / f"{k:02d}.log").write_text(f"{k}\n")
+    r = reader(tmp_path, start="beginning")
+    start = r.initialOffset()
+    (part,) = r.partitions(start, r.latestOffset())
+    assert [(x["seq"], x["value"], x["path"][-6:]) for b in r.read(part) for x in b.to_pylist()] == [(k, str(k), f"{k:02d}.log") for k in range(20)]
