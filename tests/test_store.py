@@ -265,3 +265,16 @@ def test_dead_letters(spark, tmp_path):
     assert jobs.replay(store, schema, repair, version) == version
     assert sorted(r["host"] for r in store.read("metrics").collect()) == ["c", "h1", "h2"] and sorted(r["pid"] for r in store.read("processes").collect()) == [1, 1, 7]
     assert store.read("dead_letters").count() == 6
+
+
+def test_an_append_reads_each_commit_once(spark, tmp_path, monkeypatch):
+    store, read = Store(spark, str(tmp_path)), []
+    store.create()
+    rows = spark.createDataFrame([("h", datetime(2024, 1, 1))], "host string, timestamp timestamp_ntz")
+    for k in range(3):
+        store.append("logs", rows, "s", k)
+    plain = commits.Files.read
+    monkeypatch.setattr(commits.Files, "read", lambda self, path: read.append(path) or plain(self, path))
+    store.append("logs", rows, "s", 3)
+    assert len(read) == len(set(read)) == 4
+    assert store.read("logs").count() == 4
