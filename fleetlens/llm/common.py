@@ -46,14 +46,15 @@ def clear(spark: SparkSession, since: int = 0, last: int = 0) -> None:
     _MADE[since : since + len(gone)] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back: cuts lineage, and survives lost executors.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df once into the shared folder, in folders by a column's values if asked to, and reads it back: cuts lineage, and
+    survives lost executors.
 
     The files stay until clear(), because the returned frame reads them lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _MADE.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
