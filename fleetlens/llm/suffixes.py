@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -34,33 +36,40 @@ def suffix_array(s: list[int]) -> list[int]:
             first_of[begins[c] + k - 1] = begins[c]
     before = [-1] * (n + 1)
     end = n
-    while end >= 0:
+    while end > 0:  # the empty suffix is the first group by itself, so group[-1], its own, is below all others
         g = first_of[end]
-        found: dict[int, int] = {}
+        end = g - 1
+        found: list[int] = []
         for i in held[g]:
             if group[i] == g:
                 p = i - 1
-                while p >= 0 and group[p] >= g:
+                while group[p] >= g:
                     p = before[p]
                 before[i] = p
                 if p >= 0:
-                    found[p] = found.get(p, 0) + 1
-        by: dict[int, dict[int, list[int]]] = {}
-        for p, times in found.items():
-            by.setdefault(times, {}).setdefault(group[p], []).append(p)
-        for times in range(max(by, default=0), 0, -1):
+                    found.append(p)
+        if len(found) == 1:  # most groups: nothing to count
+            moves = [found]
+        elif len(found) == 2:
+            p, q = found
+            moves = [[p]] if p == q else [found] if group[p] == group[q] else [[p], [q]]
+        else:
+            by: dict[int, dict[int, list[int]]] = {}
+            for p, times in Counter(found).items():
+                by.setdefault(times, {}).setdefault(group[p], []).append(p)
+            moves = [moved for times in range(max(by, default=0), 0, -1) for moved in by.get(times, {}).values()]
+        for moved in moves:
             # groups are looked up anew: of one old group, those found more often have already left
-            for h, moved in by.get(times, {}).items():
-                left = size[h] - len(moved)
-                if not left:
-                    continue  # the whole group was found as often
-                new = h + left
-                size[h], size[new] = left, len(moved)
-                first_of[new - 1], first_of[new + len(moved) - 1] = h, new
-                held[new] = moved
-                for p in moved:
-                    group[p] = new
-        end = g - 1
+            h = group[moved[0]]
+            left = size[h] - len(moved)
+            if not left:
+                continue  # the whole group was found as often
+            new = h + left
+            size[h], size[new] = left, len(moved)
+            first_of[new - 1], first_of[new + len(moved) - 1] = h, new
+            held[new] = moved
+            for p in moved:
+                group[p] = new
 
     fill = list(range(n + 1))
     out, done = [0] * (n + 1), bytearray(n + 1)
@@ -103,8 +112,9 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, windows: np.ndarra
     count = len(contexts)
     rows = np.zeros((count, ROW), np.uint8)
     begin = ANCHOR_COLUMN - left
-    for p, c in enumerate(contexts):
-        rows[p, begin[p] : begin[p] + len(c)] = np.frombuffer(c, np.uint8)
+    sizes = windows - 1 + length
+    at = np.arange(sizes.sum()) + np.repeat(begin + np.arange(count) * ROW - (np.cumsum(sizes) - sizes), sizes)
+    rows.reshape(-1)[at] = np.frombuffer(b"".join(contexts), np.uint8)
     letters = rows.view(">u8").astype(np.uint64)
     ends = begin + windows - 1 + length
     first, last = -(-begin // LETTER), -(-ends // LETTER)
