@@ -217,3 +217,24 @@ def growing_lines(spark: SparkSession, folder: str, state: str, rows: int = ROWS
     """
     spark.dataSource.register(GrowingLines)
     return spark.readStream.format("growing_lines").option("rows", rows).option("start", start).option("state", state).load(folder)
+
+
+def grown(spark: SparkSession, source: str, folder: str, share: float = 1.0) -> None:
+    """Lets copies of the files below `source` grow below `folder` up to a share of their bytes, each in a task, as something that still writes would.
+
+    What is there stays, and what is missing comes to its end; a share mostly ends within a line. A task that runs again goes on.
+    """
+    system, base = _opened(source)
+    files = [(path[len(base) + 1 :], int(size * share)) for path, size in _found(source).values()]
+
+    def write(file: tuple[str, int]) -> None:
+        (system, base), (to, there) = _opened(source), _opened(folder)
+        name, upto = file
+        to.create_dir(os.path.dirname(f"{there}/{name}"), recursive=True)
+        at = to.get_file_info(f"{there}/{name}").size or 0
+        with system.open_input_file(f"{base}/{name}") as f, (to.open_append_stream if at else to.open_output_stream)(f"{there}/{name}") as out:
+            f.seek(at)
+            while block := f.read(min(_BLOCK, max(0, upto - at))):
+                at += out.write(block)
+
+    spark.sparkContext.parallelize(files, max(1, len(files))).foreach(write)
